@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from textloom.llm import quality
+from textloom.llm import near_dup, quality
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -20,3 +20,8 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+
+
+@_query
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
