@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[[32, *range(9, 14)]] = True
+#: By byte: what ends a word. WHITE is ASCII white space, MARKS every ASCII character but lower-case letters and digits.
+WHITE, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(97, 123)]] = False
 #: Bytes hashed at a time, so that temporaries stay small whatever a text's length.
 PIECE = 1 << 21
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -19,15 +22,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each run of bytes other than ASCII white space."""
+def word_hashes(data: bytes, blank: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each run of bytes that `blank` does not mark."""
     hashes, starts, at = [], [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
-        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+        while end < len(data) and not blank[data[end]]:
             end += 1
         raw = np.frombuffer(data, np.uint8, end - at, at)
-        solid = ~_IS_BLANK[raw]
+        solid = ~blank[raw]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         begin = np.flatnonzero(first)
@@ -45,11 +48,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def words_by_text(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words_by_text(texts: list[str | None], blank: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the first word's index of each text with the total at the end."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(raw)
-    hashes, starts = word_hashes(data.lower() if lower else data)  # bytes.lower() changes A-Z only
+    hashes, starts = word_hashes(data.lower(), blank)  # bytes.lower() changes A-Z only
     offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
     return hashes, np.searchsorted(starts, offsets)
 

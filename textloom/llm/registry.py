@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from textloom.llm import near_dup, quality
+from textloom.llm import decontaminate, near_dup, quality
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -25,3 +25,8 @@ def op10_quality_rules(spark, sf_dir):
 @_query
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
