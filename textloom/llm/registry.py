@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from textloom.llm import decontaminate, near_dup, quality
+from textloom.llm import decontaminate, licenses, near_dup, quality
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -30,3 +30,11 @@ def op6_minhash_near_dedup(spark, sf_dir):
 @_query
 def op1_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_license_scan(spark, sf_dir):
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_license_scan"] = licenses.oracle()
