@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from textloom.llm import decontaminate, licenses, near_dup, quality
+from textloom.llm import decontaminate, licenses, mixing, near_dup, quality
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -38,3 +38,8 @@ def op4_license_scan(spark, sf_dir):
 
 
 ORACLES["op4_license_scan"] = licenses.oracle()
+
+
+@_query
+def op5_source_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
