@@ -8,18 +8,17 @@ null component. Extra columns are not read. An empty table gives no rows.
 
 Candidates come from bands of full minima, so a pair is missed with a probability below 0.001 at the threshold and far
 less above it. Then two low bits of each minimum, packed into four longs, give an estimate corrected for chance
-agreement; only pairs far below the threshold are left out by it. Every remaining pair is confirmed on its full sets.
+agreement, which chooses whom a class is first compared with. Every link is confirmed on full sets.
 
-A group of thousands of copies is not expanded into pairs. Equal sets are one class from the start. In each bucket
-every class is compared with the bucket's smallest class; then only classes that this left in another component are
-compared with the rest of the bucket, inside a join whose condition is the estimate. Pairs inside one component are
-skipped, since they cannot change it.
+A group of thousands of copies is not expanded into pairs. Equal sets are one class from the start. Each class is then
+compared with one other only: the likeliest of the smallest classes of its buckets. What this links becomes a
+component. Classes joined by buckets form a cluster; where a cluster still holds several components, the classes outside
+its largest one are compared with all of it, by exact counts over an inverted index inside the task. Clusters of any
+size are dealt as a grid of chunks, and a task gives only the links that join components.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,9 @@ from textloom.session import written
 MINIMA, BANDS, ROWS, BITS = 128, 18, 7, 2
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Pairs whose estimate is below this are not confirmed: more than five standard deviations under the threshold.
+#: Shingles of a chunk, about: what one side of a task holds.
+CHUNK_SHINGLES = 1 << 20
+#: A class is not compared with a leader whose estimate is below this, five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.62
 SIG = [f"s{i}" for i in range(MINIMA * BITS // 64)]
 SKETCH = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SIG) + ", bands array<long>"
@@ -97,32 +98,77 @@ def _plausible(x: str, y: str) -> Column:
     return sizes & (estimate(x, y) >= LEAST_ESTIMATE)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose full sets reach the threshold."""
-    one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-
-    def run(batches):
-        recent: OrderedDict = OrderedDict()
-
-        def set_of(key, text):
-            if (key, text) not in recent:
-                words, _ = H.words_by_text([text])
-                recent[key, text] = H.shingles(words)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            recent.move_to_end((key, text))
-            return recent[key, text]
-
-        for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = set_of(a, ta), set_of(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _chunks(total: Column) -> Column:
+    return F.ceil(total / CHUNK_SHINGLES).cast("long")
+
+
+def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b) of classes whose full sets reach the threshold, inside each group of `keys`.
+
+    rows: keys, wide (on the side that is indexed; else on the side that is looked up), rep, component, text. Only links
+    that join components, given ones or ones joined before in the group, are given."""
+
+    def run(table: pa.Table) -> pa.Table:
+        wide = np.array(table.column("wide").to_pylist(), bool)
+        reps, parts = (np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "component"))
+        texts, sets = table.column("text").to_pylist(), [None] * len(wide)
+        for first, last in H.chunks(texts):
+            words, at = H.words_by_text(texts[first:last])
+            for i in range(last - first):
+                sets[first + i] = H.shingles(words[at[i] : at[i + 1]])
+        index = np.flatnonzero(wide)
+        sizes = np.array([len(sets[i]) for i in index], np.int64)
+        values = np.concatenate([sets[i] for i in index]) if len(index) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(index)), sizes)[order]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for u in np.flatnonzero(~wide).tolist():
+            one = sets[u]
+            left, right = np.searchsorted(values, one), np.searchsorted(values, one, "right")
+            n = right - left
+            both = np.bincount(owner[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(index))
+            near = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (sizes + len(one) - both)) & (reps[index] != reps[u]))
+            for i in near.tolist():
+                x, y = find(int(parts[u])), find(int(parts[index[i]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(reps[index[i]]), int(reps[u])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among (leader, rep, n): the members of a leader, dealt in chunks, each beside the leader's text."""
+    total = pairs.groupBy("leader").agg(_chunks(F.sum("n")).alias("chunks"))
+    dealt = pairs.join(total, "leader").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    rows = dealt.join(texts, "rep").select("leader", "chunk", F.lit(True).alias("wide"), "rep", F.col("rep").alias("component"), "text")
+    head = total.join(texts.withColumnRenamed("rep", "leader"), "leader").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    heads = head.select("leader", "chunk", F.lit(False).alias("wide"), F.col("leader").alias("rep"), F.col("leader").alias("component"), "text")
+    return _links(rows.unionByName(heads), ["leader", "chunk"])
+
+
+def _cluster_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of each cluster; rows: rep, n, cluster, component."""
+    parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("c"))
+    heads = parts.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    mixed = rows.join(heads.drop("k"), "cluster")
+    outside = F.col("component") != F.col("head")
+    size = mixed.groupBy("cluster").agg(_chunks(F.sum("n")).alias("wide_chunks"), _chunks(F.sum(F.when(outside, F.col("n")))).alias("chunks"))
+    mixed = written(mixed.join(size, "cluster").join(texts, "rep"), "mixed")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
+    columns = ["cluster", "x", "y", "wide", "rep", "component", "text"]
+    wide = mixed.withColumn("x", mine("wide_chunks")).withColumn("y", all_of("chunks")).withColumn("wide", F.lit(True)).select(*columns)
+    thin = mixed.where(outside).withColumn("y", mine("chunks")).withColumn("x", all_of("wide_chunks")).withColumn("wide", F.lit(False)).select(*columns)
+    return _links(wide.unionByName(thin), ["cluster", "x", "y"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -131,33 +177,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     ids = classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
-    reps = written(rows.join(ids, ["doc_id", "d1", "d2", "n"], "left_semi"), "reps")
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    reps = rows.join(ids, ["doc_id", "d1", "d2", "n"], "left_semi").withColumnRenamed("doc_id", "rep")
+    reps = written(reps.select("rep", "n", *SIG, "bands"), "reps")
+    banded = reps.select(F.explode("bands").alias("key"), "rep")
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = written(banded.join(leaders, "key"), "members")
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), "texts")
-    light = reps.select("doc_id", "n", *SIG)
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = written(banded.join(leaders, "key").where("rep <> leader").select("leader", "rep").distinct(), "pairs")
+    clusters = components(pairs, "leader", "rep")
+    # A merge join at any size: texts cross the network once, whatever the ids' size is guessed to be.
+    needed = clusters.select(F.col("node").alias("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(needed.hint("merge"), "rep", "left_semi")
+    texts = written(texts, "texts")
+    light = reps.select("rep", "n", *SIG)
     x, y = light.alias("x"), light.alias("y")
-    near = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_plausible("x", "y")).select("a", "b")
-    first = written(confirm(near, texts), "links")
-    part = components(first)
-    # Buckets that still hold several components: what is outside the leader's component against all of the bucket.
-    labelled = members.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    heads = part.select(F.col("node").alias("leader"), F.col("component").alias("head"))
-    labelled = labelled.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    labelled = written(labelled.join(light.withColumnRenamed("doc_id", "rep"), "rep"), "labelled")
-    outside = labelled.where("component <> head")
-    mixed = labelled.join(outside.select("key").distinct(), "key", "left_semi").where("rep <> leader")
-    u, v = outside.alias("x"), mixed.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep")))
-    more = u.join(v, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y"))
-    more = written(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "pairs")
-    links = first
-    if not more.isEmpty():
-        links = first.unionByName(confirm(more, texts))
-        part = components(links)
+    near = pairs.join(x, F.col("leader") == F.col("x.rep")).join(y, pairs["rep"] == F.col("y.rep")).where(_plausible("x", "y"))
+    near = near.select("leader", F.col("y.rep").alias("rep"), F.col("y.n").alias("n"), estimate("x", "y").alias("e"))
+    likeliest = near.groupBy("rep").agg(F.max_by("leader", F.struct("e", -F.col("leader"))).alias("leader"), F.first("n").alias("n"))
+    links = written(_star_links(likeliest, texts), "links")
+    part = components(links)
+    placed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(light.select("rep", "n"), "rep")
+    placed = placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = written(_cluster_links(placed, texts), "links")
+    part = components(links.unionByName(more))
     named = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
