@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from textloom.llm import decontaminate, licenses, mixing, near_dup, quality
+import public_tokenizers
+
+from textloom.llm import decontaminate, language, licenses, mixing, near_dup, quality, token_counts, token_files, toxicity
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -43,3 +45,23 @@ ORACLES["op4_license_scan"] = licenses.oracle()
 @_query
 def op5_source_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_language_id(spark, sf_dir):
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op2_token_output(spark, sf_dir):
+    return token_files.written_index(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
