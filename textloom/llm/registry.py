@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from textloom.llm import decontaminate, language, licenses, mixing, near_dup, quality, token_counts, token_files, toxicity
+from textloom.llm import decontaminate, html_text, language, licenses, mixing, near_dup, quality, token_counts, token_files, toxicity
 from textloom.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -65,3 +65,8 @@ def op2_token_output(spark, sf_dir):
 @_query
 def op3_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_html_extraction(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
