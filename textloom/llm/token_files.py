@@ -6,10 +6,12 @@ header and blocks of BLOCK_TOKENS ids: for each block its coded size and the crc
 A damaged block is found by its checksum and touches no other block.
 
 A block starts from the same empty statistics. For each id the coder mixes three predictions: the id that last followed
-the two ids before (order 2), the one that last followed the id before (order 1), and counts of all ids of the block so
-far (order 0). Two adaptive bits say whether order 2 and order 1 are right; their probabilities come from the records
-of both contexts and whether they agree. Other ids are coded by order-0 counts: high part, then low part given it. All
-blocks of a segment are coded in step, one id of each at a time, as vectors; that is what makes it fast.
+the two ids before (order 2), the one that last followed the id before (order 1), and counts of the ids so far (order
+0). The records of the order-2 and order-1 contexts and whether they agree choose an adaptive split of the code range
+between "order 2 is right", "order 1 is right" and "neither"; the rest is split by order-0 counts, with room for ids not
+seen yet. Predictions and records change with every id; the split and the counts are brought up to date at fixed places
+of a block, so that each id is one coding step with shifts for divisions. All is integer arithmetic: files decode alike
+everywhere. All blocks of a segment are coded in step, one id of each at a time, as vectors.
 
 A null or empty text is just the end id. Rows that share a doc_id stay in the order of their texts. Extra columns are
 not read. An empty table gives no segments.
@@ -17,6 +19,8 @@ not read. An empty table gives no segments.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,158 +31,206 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.hashing import chunks
 from textloom.session import shared_dir
 
 BLOCK_TOKENS = 4096
 #: Blocks of a segment, about; a segment ends with a document.
-SEGMENT_BLOCKS = 768
+SEGMENT_BLOCKS = 1024
 END_ID = 0
 MAGIC = b"TLT1"
-#: The size of ids that the order-0 model covers: 256 high parts of 256 low parts.
-HIGH = LOW = 256
+IDS = 1 << 16
 #: Slots of the context tables of a block.
 SLOTS = 1 << 12
-_MASK48 = np.uint64((1 << 48) - 1)
+#: Places of a block at which split and counts are brought up to date.
+REFRESH = (64, 256, 1024, 2560)
+#: Bits of the split and of the order-0 range; of the latter, SEEN is for ids seen before.
+SPLIT_BITS, COUNT_BITS = 10, 18
+SEEN = (1 << COUNT_BITS) - IDS
+_BITS = np.uint64(SPLIT_BITS + COUNT_BITS)
+_MASK48, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 SEGMENTS = "part int, segment int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-class _Coder:
-    """Range coder states of many lanes: 48-bit low and range, 16-bit words, carries added to words already out."""
+class _Writer:
+    """Range coders of many blocks in step: 48 bits of low and range, 16-bit words, carries added to words already out."""
 
-    def __init__(self, lanes: int, words: np.ndarray | None = None, capacity: int = 0):
-        self.range = np.full(lanes, 1 << 48, np.uint64)
-        self.lane = np.arange(lanes)
-        self.at = np.zeros(lanes, np.int64)
-        if words is None:
-            self.low, self.words = np.zeros(lanes, np.uint64), np.zeros((lanes, capacity), np.uint16)
-        else:
-            self.words, self.code = words, np.zeros(lanes, np.uint64)
-            for _ in range(3):
-                self.code = (self.code << np.uint64(16)) | self._next(self.lane)
-
-    def _next(self, lanes):
-        got = self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)].astype(np.uint64)
-        self.at[lanes] += 1
-        return got
-
-    def encode(self, lanes, start, size, total):
-        step = self.range[lanes] // total
-        low = self.low[lanes] + step * start
-        width = step * size
-        over = low > _MASK48
-        if over.any():
-            low[over] &= _MASK48
-            where, back = lanes[over], self.at[lanes[over]] - 1
+    def __init__(self, lanes: int, capacity: int):
+        self.range, self.low = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64)
+        self.words, self.at = np.zeros((lanes, capacity), np.uint16), np.zeros(lanes, np.int64)
+
+    def put(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """Codes one symbol in each of the first n blocks."""
+        width, low = self.range[:n], self.low[:n]
+        step = width >> _BITS
+        low += step * start
+        np.multiply(step, size, out=width)
+        where = np.flatnonzero(low > _MASK48)
+        if len(where):
+            low[where] &= _MASK48
+            back = self.at[where] - 1
             while len(where):
                 self.words[where, back] += np.uint16(1)
                 again = self.words[where, back] == 0
                 where, back = where[again], back[again] - 1
-        out = width < np.uint64(1 << 32)
-        if out.any():
-            who = lanes[out]
-            self.words[who, self.at[who]] = (low[out] >> np.uint64(32)).astype(np.uint16)
-            self.at[who] += 1
+        while len(out := np.flatnonzero(width < _LEAST)):
+            self.words[out, self.at[out]] = low[out] >> np.uint64(32)
+            self.at[out] += 1
             low[out] = (low[out] << np.uint64(16)) & _MASK48
             width[out] <<= np.uint64(16)
-        self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> list[bytes]:
-        """Emits the last words; each lane's coded bytes."""
+        """Emits the last words; each block's coded bytes."""
+        lane = np.arange(len(self.low))
         for _ in range(3):
-            self.words[self.lane, self.at] = (self.low >> np.uint64(32)).astype(np.uint16)
+            self.words[lane, self.at] = self.low >> np.uint64(32)
             self.low = (self.low << np.uint64(16)) & _MASK48
             self.at += 1
         return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
 
-    def target(self, lanes, total):
-        """The cumulative count that each lane's code points at, and the step to pass to take()."""
-        step = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // step, total - np.uint64(1)), step
 
-    def take(self, lanes, step, start, size):
-        code, width = self.code[lanes] - step * start, step * size
-        more = width < np.uint64(1 << 32)
-        if more.any():
-            code[more] = (code[more] << np.uint64(16)) | self._next(lanes[more])
-            width[more] <<= np.uint64(16)
-        self.code[lanes], self.range[lanes] = code, width
+class _Reader:
+    """The other direction."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, lanes = words, len(words)
+        self.range, self.code, self.at = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, 3)
+        for i in range(3):
+            self.code = (self.code << np.uint64(16)) | words[:, i]
+
+    def aim(self, n: int) -> np.ndarray:
+        """The place in the range of totals that each code points at."""
+        self.step = self.range[:n] >> _BITS
+        return np.minimum(self.code[:n] // self.step, (np.uint64(1) << _BITS) - np.uint64(1))
+
+    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        width, code = self.range[:n], self.code[:n]
+        code -= self.step * start
+        np.multiply(self.step, size, out=width)
+        while len(out := np.flatnonzero(width < _LEAST)):
+            code[out] = (code[out] << np.uint64(16)) | self.words[out, self.at[out]]
+            self.at[out] += 1
+            width[out] <<= np.uint64(16)
 
 
 class _Model:
-    """Adaptive statistics of many blocks in step."""
+    """Statistics of many blocks in step."""
 
     def __init__(self, lanes: int):
-        #: By context slot: predicted id * 8 + record (1 to 7 right in a row); 0 is an empty slot.
-        self.after_two, self.after_one = (np.zeros((lanes, SLOTS), np.int32) for _ in range(2))
-        #: By records of both contexts and their agreement: weights of "order 2 right", "order 1 right", "neither".
-        self.flags = np.ones((lanes, 128, 3), np.uint16)
-        self.flags[:, :, 2] = 2
-        # Cumulative order-0 counts. No total reaches 2 ** 16 within a block.
-        start = np.arange(257, dtype=np.uint16)
-        self.high = np.tile(start, (lanes, 1))
-        self.low = np.tile(start, (lanes, HIGH, 1))
-        self.above = np.arange(257, dtype=np.int64)
-
-    def predict(self, lanes, a, b):
-        self.slot_two = ((a * 40503 + b * 30011) >> 3) & (SLOTS - 1)
-        self.slot_one = b & (SLOTS - 1)
-        two, one = self.after_two[lanes, self.slot_two], self.after_one[lanes, self.slot_one]
-        self.two, self.one = two, one
-        self.id_two, self.id_one = (two >> 3) - 1, (one >> 3) - 1
-        self.context = ((two & 7) << 4) | ((one & 7) << 1) | (self.id_two == self.id_one)
-        self.weights = self.flags[lanes, self.context].astype(np.uint64)
-
-    def learn(self, lanes, ids, kind):
-        fresh = (ids.astype(np.int32) + 1) << 3 | 1
-        for table, slot, old, right in ((self.after_two, self.slot_two, self.two, self.id_two == ids), (self.after_one, self.slot_one, self.one, self.id_one == ids)):
-            table[lanes, slot] = np.where(right, old + ((old & 7) < 7), fresh)
-        self.flags[lanes, self.context, kind] += np.uint16(24)
-        full = self.weights.sum(axis=1) > 3000
-        if full.any():
-            who, at = lanes[full], self.context[full]
-            self.flags[who, at] = (self.flags[who, at] + np.uint16(1)) >> np.uint16(1)
-
-    def count(self, lanes, high, low):
-        """Adds an id to the order-0 counts."""
-        self.high[lanes] += (self.above > high[:, None]).astype(np.uint16) * np.uint16(12)
-        self.low[lanes, high] += (self.above > low[:, None]).astype(np.uint16) * np.uint16(12)
-
-
-def _interval(table, symbol):
-    """(start, size, total) of a symbol in rows of cumulative counts."""
-    row = np.arange(len(symbol))
-    start, end = table[row, symbol].astype(np.uint64), table[row, symbol + 1].astype(np.uint64)
-    return start, end - start, table[:, -1].astype(np.uint64)
+        self.lane = np.arange(lanes)
+        #: By context slot: (id + 1) * 8 + times right in a row, 7 at most; 0 is an empty slot.
+        self.after_two, self.after_one = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
+        self.base = self.lane * SLOTS
+        self.kinds = np.tile(np.array([1.0, 1.0, 2.0]), (lanes * 128, 1))
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._split()
+        self._order0()
+
+    def look(self, n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1, and the number of the split, after ids a, b."""
+        self.at_two = self.base[:n] + (((a * 40503 + b * 30011) >> 3) & (SLOTS - 1))
+        self.at_one = self.base[:n] + (b & (SLOTS - 1))
+        self.two, self.one = self.after_two[self.at_two], self.after_one[self.at_one]
+        guess_two, guess_one = (self.two >> 3) - 1, (self.one >> 3) - 1
+        split = (self.lane[:n] << 7) | ((self.two & 7) << 4) | ((self.one & 7) << 1) | (guess_two == guess_one)
+        return guess_two, guess_one, split
+
+    def learn(self, ids: np.ndarray, right_two: np.ndarray, right_one: np.ndarray) -> None:
+        fresh = ((ids + 1) << 3).astype(np.int32)
+        self.after_two[self.at_two] = np.where(right_two, np.minimum(self.two + 1, fresh | 7), fresh)
+        self.after_one[self.at_one] = np.where(right_one, np.minimum(self.one + 1, fresh | 7), fresh)
+
+    def refresh(self, split: np.ndarray, kind: np.ndarray, keys: np.ndarray) -> None:
+        """Takes in what was coded since the last time: splits and kinds, and block * IDS + id of ids of kind 2."""
+        self.kinds += np.bincount(split * 3 + kind, minlength=self.kinds.size).reshape(-1, 3)
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        both, times = both[order], np.concatenate([self.counts, np.ones(len(keys), np.int64)])[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        self.keys, self.counts = both[first], np.add.reduceat(times, first) if len(first) else times
+        self._split()
+        self._order0()
+
+    def _split(self) -> None:
+        """Bounds of the split: ends of kind 0 and kind 1 among 2 ** SPLIT_BITS, no kind empty."""
+        room, total = (1 << SPLIT_BITS) - 3, self.kinds.sum(axis=1)
+        self.end0 = 1 + (self.kinds[:, 0] * room // total).astype(np.int64)
+        self.end1 = self.end0 + 1 + (self.kinds[:, 1] * room // total).astype(np.int64)
+
+    def _order0(self) -> None:
+        """Start and size of each seen id in its block's order-0 range."""
+        lanes, block = len(self.lane), self.keys >> 16
+        distinct, total = np.bincount(block, minlength=lanes), np.bincount(block, weights=self.counts, minlength=lanes).astype(np.int64)
+        self.size = 1 + self.counts * (SEEN - distinct[block]) // np.maximum(total[block], 1)
+        ends = np.cumsum(self.size)
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(distinct)[:-1]])]
+        self.start = ends - self.size - before[block]
+        self.places = (block << COUNT_BITS) + self.start
+        self.some = distinct > 0
+
+    def interval(self, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ids in the order-0 ranges of their blocks."""
+        key = (block << 16) | ids
+        some = self.some[block]
+        start, size = np.where(some, SEEN + ids, ids << (COUNT_BITS - 16)), np.where(some, 1, 1 << (COUNT_BITS - 16))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            start, size = np.where(known, self.start[at], start), np.where(known, self.size[at], size)
+        return start, size
+
+    def find(self, block: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The ids at places of the order-0 ranges."""
+        new = np.where(self.some[block], place - SEEN, place >> (COUNT_BITS - 16))
+        if not len(self.keys):
+            return new
+        at = np.maximum(np.searchsorted(self.places, (block << COUNT_BITS) + place, "right") - 1, 0)
+        return np.where(self.some[block] & (place < SEEN), self.keys[at] & (IDS - 1), new)
+
+
+def _phases(longest: int) -> list[tuple[int, int]]:
+    ends = [e for e in REFRESH if e < longest] + [longest]
+    return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Coded bytes of each block of ids."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    ids = np.zeros((len(blocks), int(sizes.max(initial=0))), np.int64)
+    longest = int(sizes.max(initial=0))
+    ids = np.zeros((longest + 2, len(blocks)), np.int64)  # two zeros come before
     for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
-    coder, model = _Coder(len(blocks), capacity=3 * ids.shape[1] + 4), _Model(len(blocks))
-    before = np.zeros((2, len(blocks)), np.int64)
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))  # blocks that have an id here
-        lanes, x = coder.lane[:n], ids[:n, t]
-        model.predict(lanes, before[0, :n], before[1, :n])
-        kind = np.where(model.id_two == x, 0, np.where(model.id_one == x, 1, 2))
-        w = model.weights
-        starts = np.zeros((n, 3), np.uint64)
-        starts[:, 1], starts[:, 2] = w[:, 0], w[:, 0] + w[:, 1]
-        coder.encode(lanes, starts[lanes, kind], w[lanes, kind], starts[:, 2] + w[:, 2])
-        model.learn(lanes, x, kind)
-        new = np.flatnonzero(kind == 2)
-        if len(new):
-            high, low = x[new] >> 8, x[new] & 255
-            coder.encode(new, *_interval(model.high[new], high))
-            coder.encode(new, *_interval(model.low[new, high], low))
-            model.count(new, high, low)
-        before[0, :n], before[1, :n] = before[1, :n], x
+        ids[2 : 2 + len(blocks[i]), row] = blocks[i]
+    width = [int(np.searchsorted(-sizes, -t, "left")) for t in range(longest)]  # blocks that have an id at t
+    writer, model = _Writer(len(blocks), 2 * longest + 8), _Model(len(blocks))
+    for first, last in _phases(longest):
+        splits, kinds = [], []
+        for t in range(first, last):
+            n = width[t]
+            x = ids[t + 2, :n]
+            two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
+            right_two, right_one = two == x, one == x
+            model.learn(x, right_two, right_one)
+            splits.append(split)
+            kinds.append(np.where(right_two, 0, np.where(right_one, 1, 2)))
+        split, kind = np.concatenate(splits), np.concatenate(kinds)
+        block = np.concatenate([model.lane[: width[t]] for t in range(first, last)])
+        x = np.concatenate([ids[t + 2, : width[t]] for t in range(first, last)])
+        end0, end1 = model.end0[split], model.end1[split]
+        rest = (1 << SPLIT_BITS) - end1
+        start0, size0 = model.interval(block, x)
+        start = np.where(kind == 0, 0, np.where(kind == 1, end0, end1)) << COUNT_BITS
+        size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
+        start, size = np.where(kind == 2, start + rest * start0, start).astype(np.uint64), np.where(kind == 2, rest * size0, size).astype(np.uint64)
+        at = 0
+        for t in range(first, last):
+            writer.put(width[t], start[at : at + width[t]], size[at : at + width[t]])
+            at += width[t]
+        if last < longest:
+            new = kind == 2
+            model.refresh(split, kind, (block[new] << 16) | x[new])
     coded: list = [b""] * len(blocks)
-    for row, out in enumerate(coder.finish()):
+    for row, out in enumerate(writer.finish()):
         coded[order[row]] = out
     return coded
 
@@ -187,50 +239,49 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
     order = sorted(range(len(coded)), key=lambda i: -lengths[i])
     sizes = np.array([lengths[i] for i in order], np.int64)
-    words = np.zeros((len(coded), max((len(c) for c in coded), default=0) // 2 + 1), np.uint16)
+    longest = int(sizes.max(initial=0))
+    words = np.zeros((len(coded), max((len(c) for c in coded), default=0) // 2 + 4), np.uint16)
     for row, i in enumerate(order):
         words[row, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
-    coder, model = _Coder(len(coded), words), _Model(len(coded))
-    ids = np.zeros((len(coded), int(sizes.max(initial=0))), np.int64)
-    before = np.zeros((2, len(coded)), np.int64)
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))
-        lanes = coder.lane[:n]
-        model.predict(lanes, before[0, :n], before[1, :n])
-        w = model.weights
-        first, second = w[:, 0], w[:, 0] + w[:, 1]
-        aim, step = coder.target(lanes, second + w[:, 2])
-        kind = (aim >= first).astype(np.int64) + (aim >= second)
-        starts = np.zeros((n, 3), np.uint64)
-        starts[:, 1], starts[:, 2] = first, second
-        coder.take(lanes, step, starts[lanes, kind], w[lanes, kind])
-        x = np.where(kind == 0, model.id_two, model.id_one).astype(np.int64)
-        new = np.flatnonzero(kind == 2)
-        if len(new):
-            parts = []
-            for table in (lambda: model.high[new], lambda: model.low[new, parts[0]]):
-                rows = table()
-                aim, step = coder.target(new, rows[:, -1].astype(np.uint64))
-                part = (rows <= aim[:, None]).sum(axis=1) - 1
-                start, size, _ = _interval(rows, part)
-                coder.take(new, step, start, size)
-                parts.append(part)
-            x[new] = parts[0] << 8 | parts[1]
-        model.learn(lanes, x, kind)
-        if len(new):
-            model.count(new, *parts)
-        ids[:n, t] = x
-        before[0, :n], before[1, :n] = before[1, :n], x
+    reader, model = _Reader(words), _Model(len(coded))
+    ids = np.zeros((longest + 2, len(coded)), np.int64)
+    low = (1 << COUNT_BITS) - 1
+    for first, last in _phases(longest):
+        splits, kinds, keys = [], [], []
+        for t in range(first, last):
+            n = int(np.searchsorted(-sizes, -t, "left"))
+            two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
+            end0, end1 = model.end0[split], model.end1[split]
+            aim = reader.aim(n).astype(np.int64)
+            part = aim >> COUNT_BITS
+            kind = (part >= end0).astype(np.int64) + (part >= end1)
+            start = np.where(kind == 0, 0, end0) << COUNT_BITS
+            size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
+            x = np.where(kind == 0, two, one).astype(np.int64)
+            new = np.flatnonzero(kind == 2)
+            if len(new):
+                rest, base = (1 << SPLIT_BITS) - end1[new], end1[new] << COUNT_BITS
+                x[new] = found = model.find(new, np.minimum((aim[new] - base) // rest, low))
+                start0, size0 = model.interval(new, found)
+                start[new], size[new] = base + rest * start0, rest * size0
+                keys.append((new << 16) | found)
+            reader.take(n, start.astype(np.uint64), size.astype(np.uint64))
+            model.learn(x, two == x, one == x)
+            splits.append(split)
+            kinds.append(kind)
+            ids[t + 2, :n] = x
+        if last < longest:
+            model.refresh(np.concatenate(splits), np.concatenate(kinds), np.concatenate(keys) if keys else np.zeros(0, np.int64))
     out: list = [None] * len(coded)
     for row, i in enumerate(order):
-        out[i] = ids[row, : lengths[i]]
+        out[i] = ids[2 : 2 + lengths[i], row]
     return out
 
 
 def pack(ids: np.ndarray) -> bytes:
     """A payload: header, directory of blocks, coded blocks."""
-    if len(ids) and int(ids.max()) >= HIGH * LOW:
-        raise ValueError(f"ids must be below {HIGH * LOW}")
+    if len(ids) and int(ids.max()) >= IDS:
+        raise ValueError(f"ids must be below {IDS}")
     blocks = [ids[i : i + BLOCK_TOKENS] for i in range(0, len(ids), BLOCK_TOKENS)]
     coded = encode_blocks(blocks) if blocks else []
     directory = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True))
@@ -256,48 +307,75 @@ def unpack(payload: bytes) -> np.ndarray:
 _OTHER_SPACE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
 
-class _Memo(dict):
-    """Little-endian 16-bit ids of a piece of text; forgets all when full."""
-
-    LIMIT = 1 << 18
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.int64)
-        if len(ids) and int(ids.max()) >= HIGH * LOW:
-            raise ValueError(f"ids must be below {HIGH * LOW}")
-        out = ids.astype("<u2").tobytes()
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-
 class Encoder:
     """Whole texts to ids. The byte-level splitter always cuts before a single space between two other characters, so
-    such pieces are encoded alone and remembered; texts with any other use of white space go to the library whole."""
+    such pieces are encoded alone and remembered, in bounded number; texts with any other use of white space go to the
+    library whole."""
 
-    def __init__(self, path: str):
-        import re
+    #: Pieces remembered, and the longest of them.
+    KEPT, LONGEST = 1 << 19, 48
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.memo, self.other = _Memo(tokenizer), re.compile(_OTHER_SPACE)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.memo, self.other = {}, re.compile(_OTHER_SPACE)
+        # A character whose byte no other entry holds parts pieces that are encoded in one go.
+        self.mark = "\x00"
+        alone = self.tokenizer.encode(self.mark, add_special_tokens=False).tokens
+        self.mark_id = self.tokenizer.token_to_id(alone[0]) if len(alone) == 1 and sum(alone[0] in t for t in self.tokenizer.get_vocab()) == 1 else None
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a space before, and end with, something else than white space."""
+        if self.mark_id is None:
+            return self._encoded(pieces)
+        out = []
+        for first, last in chunks(pieces, 1 << 14):
+            ids = np.frombuffer(self._encoded([self.mark.join(pieces[first:last]) + self.mark])[0], "<u2")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            data, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[2 * at : 2 * end])
+                at = end + 1
+        return out
 
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u2")
-        if "  " in text or " \n" in text or "\n " in text or self.other.search(text):
-            return np.frombuffer(self.memo.__missing__(text), "<u2")
-        first, *rest = text.split(" ")
-        pieces = [first] * bool(first) + [" " + w for w in rest]
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u2")
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        out = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if any(len(i) and int(i.max()) >= IDS for i in out):
+            raise ValueError(f"ids must be below {IDS}")
+        return [i.astype("<u2").tobytes() for i in out]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 16-bit ids of each text."""
+        out: list = [b""] * len(texts)
+        whole, open_ = [], []
+        if len(self.memo) > self.KEPT:
+            self.memo.clear()
+        get = self.memo.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.mark in text or "  " in text or " \n" in text or "\n " in text or self.other.search(text):
+                whole.append(i)
+                continue
+            pieces = text.replace(" ", self.mark + " ").split(self.mark)
+            if not pieces[0]:
+                del pieces[0]
+            parts = list(map(get, pieces))
+            if None in parts:
+                open_.append((i, pieces, parts))
+            else:
+                out[i] = b"".join(parts)
+        unknown = list({p for _, pieces, parts in open_ for p, known in zip(pieces, parts, strict=True) if known is None})
+        new = dict(zip(unknown, self._pieces(unknown), strict=True))
+        for i, pieces, parts in open_:
+            out[i] = b"".join(new[p] if known is None else known for p, known in zip(pieces, parts, strict=True))
+        self.memo.update((p, v) for p, v in new.items() if len(p) <= self.LONGEST)
+        for i, v in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
+            out[i] = v
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -316,25 +394,26 @@ def segments(docs: DataFrame, tokenizer: str, order: list[str] | None = None) ->
 
         part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
         held, keys, lengths, n, number, start = [], [], [], 0, 0, 0
-        end = np.array([END_ID], "<u2")
+        end = struct.pack("<H", END_ID)
 
         def out():
             nonlocal held, keys, lengths, n, number, start
-            columns = [[part], [number], [start], [n], [keys], [lengths], [pack(np.concatenate(held).astype(np.int64))]]
+            columns = [[part], [number], [start], [n], [keys], [lengths], [pack(np.frombuffer(b"".join(held), "<u2").astype(np.int64))]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SEGMENTS.split(", ")])
             held, keys, lengths, number, start, n = [], [], [], number + 1, start + n, 0
             return batch
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text)
-                held += [ids, end]
-                keys.append(key)
-                lengths.append(len(ids) + 1)
-                n += len(ids) + 1
-                if n >= SEGMENT_BLOCKS * BLOCK_TOKENS:
-                    yield out()
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in chunks(texts):
+                for key, ids in zip(names[first:last], encoder.ids(texts[first:last]), strict=True):
+                    held += [ids, end]
+                    keys.append(key)
+                    lengths.append(len(ids) // 2 + 1)
+                    n += len(ids) // 2 + 1
+                    if n >= SEGMENT_BLOCKS * BLOCK_TOKENS:
+                        yield out()
         if keys:
             yield out()
 
