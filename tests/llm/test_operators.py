@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import decontaminate, hashing, html_text, language, mixing, near_dup, quality, registry, token_counts, token_files, toxicity
+from textloom.llm import decontaminate, hashing, html_text, language, licenses, mixing, near_dup, quality, registry, token_counts, token_files, toxicity
 from textloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -172,11 +172,18 @@ def test_held_out_toxicity(spark):
 # -- licences
 
 
-def test_license_scan_equals_sql(spark):
-    got = sorted(tuple(r) for r in registry.QUERIES["op4_license_scan"](spark, SF).collect())
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, name):
+    frame = registry.QUERIES[name](spark, SF)
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    assert got == sorted(duckdb.sql(registry.ORACLES["op4_license_scan"]).fetchall())
-    assert any("apache-2.0" in r[6] or "mit" in r[6] for r in got)
+    want = duckdb.sql(registry.ORACLES[name])
+    assert sorted(map(tuple, frame.select(*want.columns).collect())) == sorted(want.fetchall()) and sorted(frame.columns) == sorted(want.columns)
+
+
+def test_methods_labels(spark):
+    rows = [(1, "Released under the MIT License."), (2, "x\nlicensed under the apache license, version 2.0 or later\ny"), (3, "the license under a released the mit"), (4, "under the released")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0) and got[2] == ("apache-2.0", 1.0) and got[3][0] == "mit" and got[4] == ("", 0.0)
 
 
 # -- mixing

@@ -22,6 +22,8 @@ MIN_WORDS = 50
 PRIOR_SHARE = 0.002
 #: Accuracies stay within this distance of 0 and 1.
 LEAST_ERROR = 0.001
+#: Starting accuracies of the rules.
+STARTS = (0.9, 0.9, 0.9, 0.85, 0.7, 0.7, 0.8, 0.95)
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -71,16 +73,17 @@ def rules() -> list[tuple[float, Column]]:
     prose = (symbols < 0.02) & (upper < 0.2) & (repeats < 0.4) & (ends > 0.01) & (ends < 0.35) & (length > 3) & (length < 9)
     enough = F.col("n_words") >= MIN_WORDS
     against = lambda c: F.when(enough & c, F.lit(BAD)).otherwise(F.lit(ABSTAIN))
-    return [
-        (0.9, against(symbols > 0.05)),
-        (0.9, against(upper > 0.5)),
-        (0.9, against(repeats > 0.4)),
-        (0.85, against((distinct < 0.1) & (F.col("n_words") < 2000))),
-        (0.7, against((lines > 0.3) & (F.col("n_lines") > 2))),
-        (0.7, against((ends > 0.6) | (ends < 0.002))),
-        (0.8, against((length < 2.5) | (length > 12))),
-        (0.95, F.when(enough & prose, F.lit(GOOD)).otherwise(F.lit(ABSTAIN))),
+    marks = [
+        against(symbols > 0.05),
+        against(upper > 0.5),
+        against(repeats > 0.4),
+        against((distinct < 0.1) & (F.col("n_words") < 2000)),
+        against((lines > 0.3) & (F.col("n_lines") > 2)),
+        against((ends > 0.6) | (ends < 0.002)),
+        against((length < 2.5) | (length > 12)),
+        F.when(enough & prose, F.lit(GOOD)).otherwise(F.lit(ABSTAIN)),
     ]
+    return list(zip(STARTS, marks, strict=True))
 
 
 def base_failed() -> Column:
@@ -138,3 +141,37 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     # counts' expressions into one another, once for each use.
     counted = features(whole, ["__row"]).withColumn("__stop", F.monotonically_increasing_id())
     return judge(counted, accuracy).where("kept AND __stop >= 0").select("__row.*")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the counts and verdicts over documents: windows as rows, the fit as a recursive query."""
+    blank = "[\\x20\\x09-\\x0D]"
+    last = len(STARTS)
+    start = "[" + ", ".join(f"{a}::DOUBLE" for a in STARTS) + "]"
+    good = f"1 / (1 + exp(-list_sum(list_transform(range(1, {last + 1}), lambda k: p.v[k] * ln(acc[k] / (1 - acc[k]))))))"
+    right = f"list_sum(list_transform(pats, lambda p: p.n * CASE p.v[j] WHEN 1 THEN {good} WHEN -1 THEN 1 - {good} ELSE 0 END))"
+    weight = f"(1 + {PRIOR_SHARE}::DOUBLE * list_sum(list_transform(pats, lambda p: p.n)))"
+    given = "list_sum(list_transform(pats, lambda p: p.n * abs(p.v[j])))"
+    against = ["symbols > 0.05", "upper > 0.5", "repeats > 0.4", "(uniq < 0.1 AND n_words < 2000)", "(dup > 0.3 AND n_lines > 2)", "(ends > 0.6 OR ends < 0.002)", "(size < 2.5 OR size > 12)"]
+    votes = ", ".join(f"CASE WHEN n_words >= {MIN_WORDS} AND {c} THEN -1 ELSE 0 END" for c in against)
+    prose = "symbols < 0.02 AND upper < 0.2 AND repeats < 0.4 AND ends > 0.01 AND ends < 0.35 AND size > 3 AND size < 9"
+    return f"""
+        WITH RECURSIVE a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        b AS MATERIALIZED (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM a),
+        win AS MATERIALIZED (SELECT doc_id, i, hash(w[i:i + 2]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+        twice AS (SELECT doc_id, h FROM win GROUP BY ALL HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM win JOIN twice USING (doc_id, h), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+        c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
+            len(regexp_extract_all(t || chr(10), '[.!?]{blank}')) AS n_ends, len(list_distinct(w)) AS n_distinct FROM b LEFT JOIN rep USING (doc_id)),
+        d AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbols, n_upper / greatest(word_chars, 1) AS upper, n_repeat_words / greatest(n_words, 1) AS repeats,
+            n_dup_lines / greatest(n_lines, 1) AS dup, n_ends / greatest(n_words, 1) AS ends, word_chars / greatest(n_words, 1) AS size, n_distinct / greatest(n_words, 1) AS uniq FROM c),
+        e AS MATERIALIZED (SELECT *, [{votes}, CASE WHEN n_words >= {MIN_WORDS} AND {prose} THEN 1 ELSE 0 END] AS v FROM d),
+        p AS MATERIALIZED (SELECT list({{'v': v, 'n': n}}) AS pats FROM (SELECT v, count(*)::DOUBLE AS n FROM e GROUP BY v)),
+        em(i, acc) AS (SELECT 0, {start} UNION ALL SELECT i + 1, list_transform(range(1, {last + 1}), lambda j:
+            least({1 - LEAST_ERROR}::DOUBLE, greatest({LEAST_ERROR}::DOUBLE, ({right} + {weight} * ({start})[j]) / ({given} + {weight})))) FROM em, p WHERE i < {ROUNDS}),
+        fit AS (SELECT acc FROM em WHERE i = {ROUNDS}),
+        g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            list_sum(list_transform(range(1, {last + 1}), lambda k: v[k] * ln(acc[k] / (1 - acc[k])))) >= 0 AS fine FROM e, fit)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+            n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM g"""

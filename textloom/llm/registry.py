@@ -19,7 +19,10 @@ def _query(f):
 @_query
 def op10_quality_rules(spark, sf_dir):
     out = quality.assess(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op10_quality_rules"] = quality.oracle()
 
 
 
