@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import html as H
 from textloom.functions import links as L
-from textloom.operators import corpus, frontier
+from textloom.operators import corpus, discover, frontier
 from textloom.operators.ordering import number_rows
 from textloom.sources import readers, sinks
 from textloom.streaming.incremental import index_stream, watch
@@ -93,3 +93,35 @@ def test_stream_is_idempotent(spark, tmp_path):
         index_stream(watch(spark, docs), str(tmp_path / "index"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "index/postings")).select("term", "doc_id").collect()
     assert sorted(map(tuple, got)) == [("a", 1), ("a", 3), ("b", 1), ("b", 2), ("c", 3)]
+
+
+def test_discovery_resumes_at_failed_pages(spark):
+    page = lambda *n: "".join(f'<a href="/article/n/{x}">' for x in n)
+    rows = [("s", 1, page(1, 2)), ("s", 2, None), ("t", 1, page(2, 3)), ("t", 2, page(4)), ("t", 3, page(5))]
+    pages = spark.createDataFrame(rows, "section string, page int, html string")
+    start = spark.createDataFrame([("s", 1), ("t", 1)], "section string, next_page int")
+    links, state = discover.discover(pages, start, 4)
+    assert sorted(r.link for r in links.collect()) == [f"/article/n/{i}" for i in (1, 2, 3, 4)]
+    assert sorted(map(tuple, state.collect())) == [("s", 2), ("t", 3)]
+    links, state = discover.discover(pages, state, 99, links)
+    assert links.count() == 5 and sorted(map(tuple, state.collect())) == [("s", 2), ("t", 4)]
+    stored = spark.createDataFrame([("/article/n/1",)], "link string")
+    web = spark.createDataFrame([("/article/n/2", "x"), ("/article/n/3", None)], "link string, html string")
+    assert [tuple(r) for r in discover.fetched(discover.absent(links, stored), web).collect()] == [("/article/n/2", "x")]
+
+
+def test_claims_and_store(spark):
+    queue = spark.createDataFrame([("b", "new"), ("a", "new"), ("c", "done")], "url string, status string")
+    claimed = frontier.claim(queue, 1)
+    assert sorted(map(tuple, claimed.collect())) == [("a", "processing"), ("b", "new"), ("c", "done")]
+    assert sorted(map(tuple, frontier.release(claimed).collect())) == [("a", "new"), ("b", "new"), ("c", "done")]
+    row = frontier.store_rows(spark.createDataFrame([("https://h.org:8/x", "p", "e1")], "url string, html string, etag string")).first()
+    assert (row.source_name, row.http_headers.etag, row.http_headers.last_modified) == ("h.org:8", "e1", None) and row.crawled_at > 1_600_000_000
+
+
+def test_links_and_queries_files(spark, tmp_path):
+    assert readers.load_links(spark, str(tmp_path / "none")).count() == 0
+    sinks.save_links(spark.createDataFrame([("a",), ("b",), ("a",)], "link string"), str(tmp_path / "links"))
+    assert sorted(r.link for r in readers.load_links(spark, str(tmp_path / "links")).collect()) == ["a", "b"]
+    (tmp_path / "q.txt").write_text("a && b\n\n  \n!c\n")
+    assert [r.query for r in readers.queries_txt(spark, str(tmp_path / "q.txt")).orderBy("query_id").collect()] == ["a && b", "!c"]

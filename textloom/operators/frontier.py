@@ -41,6 +41,29 @@ def upsert_latest(store: DataFrame, rows: DataFrame, key: str = "url", version:
     return last.select("__r.*")
 
 
+STORE = "url string, html_content string, source_name string, crawled_at long, http_headers struct<etag: string, last_modified: string>"
+
+
+def store_rows(fetched: DataFrame) -> DataFrame:
+    """Document-store rows of fetched (url, html[, etag, last_modified]); crawled_at is the time of the run in seconds."""
+    have = {c: F.col(c) if c in fetched.columns else F.lit(None).cast("string") for c in ("etag", "last_modified")}
+    return fetched.select(
+        "url", F.col("html").alias("html_content"), L.authority(F.col("url")).alias("source_name"), F.unix_timestamp().alias("crawled_at"),
+        F.struct(have["etag"].alias("etag"), have["last_modified"].alias("last_modified")).alias("http_headers"),
+    )
+
+
+def claim(queue: DataFrame, limit: int) -> DataFrame:
+    """The queue with the first `limit` new urls, in url order, marked as being processed; give them back by release()."""
+    taken = queue.where(F.col("status") == NEW).orderBy("url").limit(limit).select("url", F.lit(PROCESSING).alias("status"))
+    return set_status(queue, taken)
+
+
+def release(queue: DataFrame) -> DataFrame:
+    """What was being processed becomes new again, as after an interrupt."""
+    return queue.withColumn("status", F.when(F.col("status") == PROCESSING, NEW).otherwise(F.col("status")))
+
+
 def route(html: Column, captcha: str = "captcha", marker: str = "articleBody") -> Column:
     """What becomes of a fetched page: failed, captcha, skipped or article."""
     return (

@@ -68,6 +68,23 @@ def load_progress(spark: SparkSession, path: str, sections: list[str]) -> DataFr
     return wanted.join(stored, "section", "left").select("section", F.coalesce("stored", F.lit(1)).alias("next_page"))
 
 
+def load_links(spark: SparkSession, path: str) -> DataFrame:
+    """(link) of a stored link set, one a line; a missing file is the empty set."""
+    try:
+        rows = spark.read.text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], "value string")
+    return rows.select(F.trim("value").alias("link")).where("link <> ''").distinct()
+
+
+def queries_txt(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query) of the lines that are not blank, numbered by place in the files."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("query_id"), F.trim("value").alias("query"))
+    return rows.where("query <> ''")
+
+
 @dataclass(frozen=True)
 class CrawlerSettings:
     """The settings of a crawl: store, logic, crawler."""
@@ -84,6 +101,20 @@ class CrawlerSettings:
         known = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in CrawlerSettings.__dataclass_fields__ and k != "extra"}
         return CrawlerSettings(**known, extra={k: v for k, v in given.items() if k not in known})
 
+    @staticmethod
+    def from_yaml(path: str) -> CrawlerSettings:
+        """Settings of a YAML file whose sections are merged; needs the yaml package."""
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML settings needs the yaml package") from e
+        with open(path, encoding="utf-8") as f:
+            given = yaml.safe_load(f) or {}
+        flat = {}
+        for k, v in given.items():
+            flat.update(v if isinstance(v, dict) else {k: v})
+        return CrawlerSettings.from_mapping(flat)
+
 
 def listing(pages: DataFrame, progress: DataFrame, links_prefix: str, max_pages: int = 50) -> DataFrame:
     """(link, section, page) of listing pages from each section's next page on, up to the limit of pages.

@@ -32,3 +32,13 @@ def write_frequencies(frequencies: DataFrame, path: str) -> None:
 
 def save_progress(progress: DataFrame, path: str) -> None:
     progress.select("section", "next_page").write.mode("overwrite").json(path)
+
+
+def save_links(links: DataFrame, path: str) -> None:
+    """The link set, one a line."""
+    links.select("link").distinct().write.mode("overwrite").text(path)
+
+
+def write_html(pages: DataFrame, path: str, key: str = "name") -> None:
+    """(name, html) rows that the table lacks."""
+    append_absent(pages.select(key, "html"), path, key)
