@@ -179,13 +179,17 @@ class _Model:
             start, size = np.where(known, self.start[at], start), np.where(known, self.size[at], size)
         return start, size
 
-    def find(self, block: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The ids at places of the order-0 ranges."""
-        new = np.where(self.some[block], place - SEEN, place >> (COUNT_BITS - 16))
-        if not len(self.keys):
-            return new
-        at = np.maximum(np.searchsorted(self.places, (block << COUNT_BITS) + place, "right") - 1, 0)
-        return np.where(self.some[block] & (place < SEEN), self.keys[at] & (IDS - 1), new)
+    def find(self, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, size) at places of the order-0 ranges."""
+        some = self.some[block]
+        shift = COUNT_BITS - 16
+        ids = np.where(some, place - SEEN, place >> shift)
+        start, size = np.where(some, place, ids << shift), np.where(some, 1, 1 << shift)
+        known = np.flatnonzero(some & (place < SEEN))
+        if len(known):
+            at = np.searchsorted(self.places, (block[known] << COUNT_BITS) + place[known], "right") - 1
+            ids[known], start[known], size[known] = self.keys[at] & (IDS - 1), self.start[at], self.size[at]
+        return ids, start, size
 
 
 def _phases(longest: int) -> list[tuple[int, int]]:
@@ -261,8 +265,8 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             new = np.flatnonzero(kind == 2)
             if len(new):
                 rest, base = (1 << SPLIT_BITS) - end1[new], end1[new] << COUNT_BITS
-                x[new] = found = model.find(new, np.minimum((aim[new] - base) // rest, low))
-                start0, size0 = model.interval(new, found)
+                found, start0, size0 = model.find(new, np.minimum((aim[new] - base) // rest, low))
+                x[new] = found
                 start[new], size[new] = base + rest * start0, rest * size0
                 keys.append((new << 16) | found)
             reader.take(n, start.astype(np.uint64), size.astype(np.uint64))
