@@ -41,7 +41,7 @@ END_ID = 0
 MAGIC = b"TLT1"
 IDS = 1 << 16
 #: Slots of the context tables of a block.
-SLOTS = 1 << 12
+SLOTS = 1 << 10
 #: Places of a block at which split and counts are brought up to date.
 REFRESH = (64, 256, 1024, 2560)
 #: Bits of the split and of the order-0 range; of the latter, SEEN is for ids seen before.
