@@ -244,7 +244,8 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda i: -lengths[i])
     sizes = np.array([lengths[i] for i in order], np.int64)
     longest = int(sizes.max(initial=0))
-    words = np.zeros((len(coded), max((len(c) for c in coded), default=0) // 2 + 4), np.uint16)
+    # Room for what a damaged block may run on to; its checksum tells.
+    words = np.zeros((len(coded), max(max((len(c) for c in coded), default=0) // 2, 2 * longest) + 8), np.uint16)
     for row, i in enumerate(order):
         words[row, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
     reader, model = _Reader(words), _Model(len(coded))
