@@ -24,8 +24,8 @@ from textloom.llm.common import remainder
 
 #: Labelled documents learned from, of each class, about.
 SAMPLE_DOCS = 20_000
-#: A term needs so many toxic documents of the sample, and log odds above this by two standard errors.
-LEAST_DOCS, LEAST_ODDS = 4, 1.2
+#: A term's log odds must exceed the first by so many standard errors (very many tokens are tried), and the last at all.
+LEAST_ODDS, ERRORS, PLAIN_ODDS = 0.5, 4.0, 2.0
 #: Tokens shorter than the first are matched exactly; from the second on two edits are allowed.
 SHORT, LONG = 5, 12
 WINDOW = 6
@@ -54,6 +54,9 @@ class Trie:
         #: Terms and what is left of them after as many deletions as edits are allowed: two texts within k edits share
         #: one of these, so a token that shares none needs no automaton.
         self.shared: set[str] = set()
+        #: Beginnings and ends of terms, one of which an edited token keeps up to its middle.
+        self.heads: set[str] = set()
+        self.tails: set[str] = set()
         for term in weights:
             node = self.root
             for c in term:
@@ -61,10 +64,15 @@ class Trie:
             node[""] = term
             if len(term) >= SHORT:
                 self.shared |= _deletions(term, 2 if len(term) >= LONG - 2 else 1)
+                self.heads |= {term[:i] for i in range(len(term) + 1)}
+                self.tails |= {term[i:] for i in range(len(term) + 1)}
 
     def near(self, token: str) -> tuple[str, int] | None:
         """The nearest term (then the heaviest) within the distance allowed for the token's length."""
         k = 0 if len(token) < SHORT else 1 if len(token) < LONG else 2
+        half = (len(token) - 1) // 2
+        if k == 1 and token[:half] not in self.heads and token[half + 1 :] not in self.tails:
+            return None
         if k == 0 or self.shared.isdisjoint(_deletions(token, k)):
             return None
         best = None
@@ -110,9 +118,10 @@ class _Hits(dict):
 def features(text: str | None, hits: dict) -> list[float]:
     """A document's sums over its hits."""
     tokens = text.lower().split() if text else []
-    found = [(i, h) for i, h in enumerate(map(hits.__getitem__, tokens)) if h is not None]
-    if not found:
+    of = list(map(hits.__getitem__, tokens))
+    if of.count(None) == len(of):
         return [0.0] * N_FEATURES
+    found = [(i, h) for i, h in enumerate(of) if h is not None]
     exact = near = top = quoted = reported = addressed = 0.0
     for i, (weight, edits) in found:
         around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
@@ -129,17 +138,24 @@ def features(text: str | None, hits: dict) -> list[float]:
 
 
 def learn_weights(rows: DataFrame) -> dict[str, float]:
-    """Log odds of the tokens of the sample's (text, toxic) that pass the bound; equal texts count once."""
-    one = rows.select("toxic", "text").distinct()
-    totals = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    """Log odds of the tokens of the sample's (text, toxic) that pass the bound.
+
+    Documents count once per family: two minima of hashes over their longer tokens, which near copies mostly share. Else
+    whatever a group of copies says would look like a term."""
+    token = F.array_distinct(F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.btrim(w, F.lit(ENDS))))
+    long = F.filter("w", lambda w: F.char_length(w) > 5)
+    least = lambda seed: F.array_min(F.transform(F.when(F.size(long) > 0, long).otherwise(F.col("w")), lambda w: F.xxhash64(w, F.lit(seed))))
+    one = rows.select("toxic", token.alias("w")).select("toxic", F.xxhash64(least(1), least(2)).alias("family"), "w")
+    totals = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return {}
-    token = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.btrim(w, F.lit(ENDS)))))
-    counts = one.select("toxic", token.alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    each = one.select("toxic", "family", F.explode("w").alias("w")).distinct()
+    counts = each.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.ln((F.col("a") + 0.5) / (toxic + 1)) - F.ln((F.col("b") + 0.5) / (clean + 1))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 1.0))
-    terms = counts.where((F.col("a") >= LEAST_DOCS) & (F.char_length("w") > 1)).withColumn("odds", odds).where(odds - 2 * spread > LEAST_ODDS)
+    terms = counts.where(F.char_length("w") > 1).withColumn("odds", odds)
+    terms = terms.where((F.col("odds") - ERRORS * spread > LEAST_ODDS) & (F.col("odds") > PLAIN_ODDS))
     return {r.w: float(r.odds) for r in terms.select("w", "odds").collect()}  # bounded by the sample
 
 
