@@ -44,6 +44,8 @@ IDS = 1 << 16
 SLOTS = 1 << 10
 #: Places of a block at which split and counts are brought up to date.
 REFRESH = (64, 256, 1024, 2560)
+#: Ids of a block that the encoder looks up at a time; it changes nothing in the files.
+STRIP = 128
 #: Bits of the split and of the order-0 range; of the latter, SEEN is for ids seen before.
 SPLIT_BITS, COUNT_BITS = 10, 18
 SEEN = (1 << COUNT_BITS) - IDS
@@ -208,31 +210,37 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     width = [int(np.searchsorted(-sizes, -t, "left")) for t in range(longest)]  # blocks that have an id at t
     writer, model = _Writer(len(blocks), 2 * longest + 8), _Model(len(blocks))
     for first, last in _phases(longest):
-        splits, kinds = [], []
-        for t in range(first, last):
-            n = width[t]
-            x = ids[t + 2, :n]
-            two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
-            right_two, right_one = two == x, one == x
-            model.learn(x, right_two, right_one)
-            splits.append(split)
-            kinds.append(np.where(right_two, 0, np.where(right_one, 1, 2)))
-        split, kind = np.concatenate(splits), np.concatenate(kinds)
-        block = np.concatenate([model.lane[: width[t]] for t in range(first, last)])
-        x = np.concatenate([ids[t + 2, : width[t]] for t in range(first, last)])
-        end0, end1 = model.end0[split], model.end1[split]
-        rest = (1 << SPLIT_BITS) - end1
-        start0, size0 = model.interval(block, x)
-        start = np.where(kind == 0, 0, np.where(kind == 1, end0, end1)) << COUNT_BITS
-        size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
-        start, size = np.where(kind == 2, start + rest * start0, start).astype(np.uint64), np.where(kind == 2, rest * size0, size).astype(np.uint64)
-        at = 0
-        for t in range(first, last):
-            writer.put(width[t], start[at : at + width[t]], size[at : at + width[t]])
-            at += width[t]
+        splits, kinds, keys = [], [], []
+        for low in range(first, last, STRIP):
+            steps = range(low, min(low + STRIP, last))
+            some_splits, some_kinds = [], []
+            for t in steps:
+                n = width[t]
+                x = ids[t + 2, :n]
+                two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
+                right_two, right_one = two == x, one == x
+                model.learn(x, right_two, right_one)
+                some_splits.append(split)
+                some_kinds.append(np.where(right_two, 0, np.where(right_one, 1, 2)))
+            split, kind = np.concatenate(some_splits), np.concatenate(some_kinds)
+            end0, end1 = model.end0[split], model.end1[split]
+            start = np.where(kind == 0, 0, end0) << COUNT_BITS
+            size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
+            new = np.flatnonzero(kind == 2)
+            block = np.concatenate([model.lane[: width[t]] for t in steps])[new]
+            x = np.concatenate([ids[t + 2, : width[t]] for t in steps])[new]
+            rest, (start0, size0) = (1 << SPLIT_BITS) - end1[new], model.interval(block, x)
+            start[new], size[new] = (end1[new] << COUNT_BITS) + rest * start0, rest * size0
+            start, size, at = start.astype(np.uint64), size.astype(np.uint64), 0
+            for t in steps:
+                writer.put(width[t], start[at : at + width[t]], size[at : at + width[t]])
+                at += width[t]
+            if last < longest:
+                splits.append(split)
+                kinds.append(kind)
+                keys.append((block << 16) | x)
         if last < longest:
-            new = kind == 2
-            model.refresh(split, kind, (block[new] << 16) | x[new])
+            model.refresh(np.concatenate(splits), np.concatenate(kinds), np.concatenate(keys))
     coded: list = [b""] * len(blocks)
     for row, out in enumerate(writer.finish()):
         coded[order[row]] = out
