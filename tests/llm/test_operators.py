@@ -313,6 +313,9 @@ def test_layouts():
     assert text("<nav>x</nav><article><h1>T &amp; u</h1><p>one <b>two</b>\n three<p>four<br>five<aside>no</aside></article><footer>f</footer>") == "T & u\none two three\nfour five"
     assert text('<body><div class="sidebar">s</div><div id="content"><p>a</p><div class="comments"><p>c</p></div><form>f</form></div><div class="cookie-notice">n</div>') == "a"
     assert text('<div>plain</div><script>var a = "</p>"</script><!-- <p>c</p> --><ul><li><a href="/x">link</a></li></ul>') == "plain"
+    assert text('<article><h1>t</h1><p>long text of the article</p><div class="content-note"><p>x</p></div></article><article><p>other</p></article>') == "t\nlong text of the article\nx"
+    assert text('<main><p>see also</p><h1>t</h1><article><p>long text of the article</p></article></main>') == "t\nlong text of the article"
+    assert text('<div id="main"><div class="post-body"><p>body text here</p></div><div class="share-links">s</div></div>') == "body text here"
     assert text("<p>unclosed <b>bold<p>next") == "unclosed bold\nnext"
 
 
