@@ -218,15 +218,15 @@ def test_mixed_rows_keep_their_order(spark, tmp_path):
 # -- near duplicates
 
 
-def sets_of(docs):
+def sets_of(docs, width=5):
     out = {}
     for doc, text in docs:
         w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(text)]
-        out[doc] = set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)} if w else set()
+        out[doc] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     return out
 
 
-def slow_components(sets):
+def slow_components(sets, percent=80):
     inverted, root = defaultdict(list), {d: d for d in sets}
 
     def find(x):
@@ -239,27 +239,28 @@ def slow_components(sets):
             inverted[x].append(d)
     for d, s in sets.items():
         for e, k in Counter(e for x in s for e in inverted[x] if e > d).items():
-            if 100 * k >= 85 * (len(s) + len(sets[e]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[e]) - k):
                 a, b = find(d), find(e)
                 root[max(a, b)] = min(a, b)
     return {d: find(d) for d in sets}
 
 
-def test_near_duplicates_equal_all_pairs(spark):
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, width, percent):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = [rng.choice(vocabulary) for _ in range(150)]
     docs = DOCS + [(10_000 + i, " ".join(edited(base, rng.randint(0, 5), rng, vocabulary))) for i in range(300)]  # many near copies, some linked by others only
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
-    sets = sets_of(docs)
-    want = slow_components(sets)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame).collect()}
+    sets = sets_of(docs, width)
+    want = slow_components(sets, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame, width, percent).collect()}
     assert got == {d: (len(sets[d]), c, c == d) for d, c in want.items()}
 
 
 def test_chunks_of_a_cluster_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", 400)
-    test_near_duplicates_equal_all_pairs(spark)
+    test_near_duplicates_equal_all_pairs(spark, 3, 85)
 
 
 def test_components(spark):

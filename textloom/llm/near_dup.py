@@ -1,8 +1,8 @@
 """Near duplicates by b-bit MinHash.
 
 Texts: A-Z lower-cased, words are runs of other characters than ASCII white space, a document's set is its distinct
-three-word shingles (fewer words: the whole sequence). Two documents are linked where the Jaccard similarity of the
-sets is 0.85 or more; components of links are the groups. A null, empty or blank text has an empty set, is linked with
+shingles of `width` words (fewer words: the whole sequence). Two documents are linked where the Jaccard similarity of the
+sets is `percent` hundredths or more (five words and 80 by default); components of links are the groups. A null, empty or blank text has an empty set, is linked with
 nothing and is its own component. Rows that share a doc_id are one node; rows with a null doc_id have no links and a
 null component. Extra columns are not read. An empty table gives no rows.
 
@@ -28,13 +28,13 @@ from textloom.llm import hashing as H
 from textloom.llm.components import components
 from textloom.session import written
 
-MINIMA, BANDS, ROWS, BITS = 128, 18, 7, 2
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+MINIMA, BANDS, ROWS, BITS = 128, 21, 6, 2
+#: A link: 100 * intersection >= percent * union of the sets of shingles of so many words.
+WIDTH, PERCENT = 5, 80
 #: Shingles of a chunk, about: what one side of a task holds.
 CHUNK_SHINGLES = 1 << 20
-#: A class is not compared with a leader whose estimate is below this, five standard deviations under the threshold.
-LEAST_ESTIMATE = 0.62
+#: A class is not first compared with a leader whose estimate is so far below the threshold: five standard deviations.
+MARGIN = 0.23
 SIG = [f"s{i}" for i in range(MINIMA * BITS // 64)]
 SKETCH = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in SIG) + ", bands array<long>"
 
@@ -51,7 +51,7 @@ def minima(sets: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(docs: DataFrame, width: int = 3) -> DataFrame:
+def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, d1, d2, s0.., bands) of each row: set size, digest of the set, packed bits, one key a band."""
 
     def run(batches):
@@ -93,16 +93,16 @@ def estimate(x: str, y: str) -> Column:
     return ((1 - sum(differ[1:], differ[0]) / MINIMA) - chance) / (1 - chance)
 
 
-def _plausible(x: str, y: str) -> Column:
-    sizes = (100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n"))  # a bound on the similarity
-    return sizes & (estimate(x, y) >= LEAST_ESTIMATE)
+def _plausible(x: str, y: str, percent: int) -> Column:
+    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")  # a bound on the similarity
+    return sizes & (estimate(x, y) >= percent / 100 - MARGIN)
 
 
 def _chunks(total: Column) -> Column:
     return F.ceil(total / CHUNK_SHINGLES).cast("long")
 
 
-def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _links(rows: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
     """(a, b) of classes whose full sets reach the threshold, inside each group of `keys`.
 
     rows: keys, wide (on the side that is indexed; else on the side that is looked up), rep, component, text. Only links
@@ -115,7 +115,7 @@ def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
         for first, last in H.chunks(texts):
             words, at = H.words_by_text(texts[first:last])
             for i in range(last - first):
-                sets[first + i] = H.shingles(words[at[i] : at[i + 1]])
+                sets[first + i] = H.shingles(words[at[i] : at[i + 1]], width)
         index = np.flatnonzero(wide)
         sizes = np.array([len(sets[i]) for i in index], np.int64)
         values = np.concatenate([sets[i] for i in index]) if len(index) else np.zeros(0, np.uint64)
@@ -134,7 +134,7 @@ def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
             left, right = np.searchsorted(values, one), np.searchsorted(values, one, "right")
             n = right - left
             both = np.bincount(owner[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(index))
-            near = np.flatnonzero((both > 0) & (100 * both >= PERCENT * (sizes + len(one) - both)) & (reps[index] != reps[u]))
+            near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(one) - both)) & (reps[index] != reps[u]))
             for i in near.tolist():
                 x, y = find(int(parts[u])), find(int(parts[index[i]]))
                 if x != y:
@@ -145,17 +145,17 @@ def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
 
 
-def _star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among (leader, rep, n): the members of a leader, dealt in chunks, each beside the leader's text."""
     total = pairs.groupBy("leader").agg(_chunks(F.sum("n")).alias("chunks"))
     dealt = pairs.join(total, "leader").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rows = dealt.join(texts, "rep").select("leader", "chunk", F.lit(True).alias("wide"), "rep", F.col("rep").alias("component"), "text")
     head = total.join(texts.withColumnRenamed("rep", "leader"), "leader").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     heads = head.select("leader", "chunk", F.lit(False).alias("wide"), F.col("leader").alias("rep"), F.col("leader").alias("component"), "text")
-    return _links(rows.unionByName(heads), ["leader", "chunk"])
+    return _links(rows.unionByName(heads), ["leader", "chunk"], width, percent)
 
 
-def _cluster_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _cluster_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the components of each cluster; rows: rep, n, cluster, component."""
     parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("c"))
     heads = parts.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("head"), F.count("*").alias("k")).where("k > 1")
@@ -168,12 +168,12 @@ def _cluster_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     columns = ["cluster", "x", "y", "wide", "rep", "component", "text"]
     wide = mixed.withColumn("x", mine("wide_chunks")).withColumn("y", all_of("chunks")).withColumn("wide", F.lit(True)).select(*columns)
     thin = mixed.where(outside).withColumn("y", mine("chunks")).withColumn("x", all_of("wide_chunks")).withColumn("wide", F.lit(False)).select(*columns)
-    return _links(wide.unionByName(thin), ["cluster", "x", "y"])
+    return _links(wide.unionByName(thin), ["cluster", "x", "y"], width, percent)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: kept is the smallest doc_id of its component."""
-    rows = written(sketch(docs), "sketch")
+    rows = written(sketch(docs, width), "sketch")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     ids = classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
@@ -189,14 +189,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(texts, "texts")
     light = reps.select("rep", "n", *SIG)
     x, y = light.alias("x"), light.alias("y")
-    near = pairs.join(x, F.col("leader") == F.col("x.rep")).join(y, pairs["rep"] == F.col("y.rep")).where(_plausible("x", "y"))
+    near = pairs.join(x, F.col("leader") == F.col("x.rep")).join(y, pairs["rep"] == F.col("y.rep")).where(_plausible("x", "y", percent))
     near = near.select("leader", F.col("y.rep").alias("rep"), F.col("y.n").alias("n"), estimate("x", "y").alias("e"))
     likeliest = near.groupBy("rep").agg(F.max_by("leader", F.struct("e", -F.col("leader"))).alias("leader"), F.first("n").alias("n"))
-    links = written(_star_links(likeliest, texts), "links")
+    links = written(_star_links(likeliest, texts, width, percent), "links")
     part = components(links)
     placed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(light.select("rep", "n"), "rep")
     placed = placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = written(_cluster_links(placed, texts), "links")
+    more = written(_cluster_links(placed, texts, width, percent), "links")
     part = components(links.unionByName(more))
     named = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
+def filter_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs of which one stays from each group, all columns; repeats of a kept row go as well."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
     return again.unionByName(rest.where("doc_id is null"))

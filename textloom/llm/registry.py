@@ -29,7 +29,7 @@ ORACLES["op10_quality_rules"] = quality.oracle()
 
 @_query
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 @_query
