@@ -11,6 +11,7 @@ from textloom import registry
 from textloom.operators import index as I
 from textloom.operators import tokens as T
 from textloom.plans import search as P
+from textloom.session import spread
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -32,7 +33,7 @@ def main() -> None:
     drain = lambda frame: frame.write.format("noop").mode("overwrite").save()
     drain(registry.doc_tokens(spark, SF))  # warm-up
     took = {n: timed(lambda n=n: drain(registry.QUERIES[n](spark, SF))) for n in NAMES}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     mb = docs.agg(F.sum(F.octet_length("text"))).first()[0] / 1e6
     root = f"/tmp/textloom-bench-{os.getpid()}"
     took["index_build_and_save"] = timed(lambda: I.build_index(docs).save(root, buckets=16))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from textloom.operators import index as I
 from textloom.operators import tokens as T
 from textloom.plans import query as Q
 from textloom.plans import search as P
+from textloom.session import shared_dir, spread
 from textloom.streaming.incremental import add_documents
 
 #: Latin letters to Cyrillic ones, so that the stemmer has work on Latin texts.
@@ -38,7 +41,7 @@ def _register(name: str, sql: str | None):
 
 
 def _docs(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", "text")
+    return spread(_read(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _toks(spark, sf, min_chars=1):
@@ -162,7 +165,7 @@ def postings_arrays(spark, sf):
 
 
 def _titled(spark, sf):
-    pages = _read(spark, sf, "pages")
+    pages = spread(_read(spark, sf, "pages"))
     return pages.select("page_id", "url", "html", H.flat_title(F.col("html"), H.element_nodes(F.col("html"), "h1")).alias("title"))
 
 
@@ -375,10 +378,6 @@ def crawl_bfs(spark, sf):
 @_register("incremental_index", "WITH documents2 AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, text FROM benchmark), " + S.tokens_sql(table="documents2").removeprefix("WITH ") + "SELECT DISTINCT term, doc_id FROM tok")
 def incremental_index(spark, sf):
     """Documents first, then benchmark texts with a repeat of the documents, which adds nothing."""
-    import uuid
-
-    from textloom.session import shared_dir
-
     path = f"{shared_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
     docs = _docs(spark, sf)
     more = _read(spark, sf, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
