@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Text is taken as a sequence of words (ASCII letters and digits and all other non-ASCII characters, A-Z lower-cased). A
-document leaks an item where some run of its words is within floor(TOLERANCE * words of the item) word edits of the
+Text is taken as a sequence of words (ASCII letters and digits and all non-ASCII characters, lower-cased). A document
+leaks an item where some run of its words is within floor(TOLERANCE * words of the item) word edits of the
 whole item. A null, empty or wordless text leaks nothing; a null, empty or wordless item is leaked by nothing; equal
 items are reported each; repeated rows are each reported once per item. Extra columns are not read. Empty tables give
 no rows.
@@ -112,7 +112,7 @@ class Matcher:
     """A block of items, with the words runs that lead to windows and the keys that windows meet."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        words, at = H.words_by_text([t for _, t in items], H.MARKS)
+        words, at = H.words_by_text([t and t.lower() for _, t in items], H.MARKS)
         kept = [(i, words[at[n] : at[n + 1]]) for n, (i, _) in enumerate(items) if at[n + 1] > at[n]]
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
@@ -147,7 +147,7 @@ class Matcher:
         """(row, item number, first word, edits) of the best place of each item in each text."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
         for first, last in H.chunks(texts):
-            words, at = H.words_by_text(texts[first:last], H.MARKS)
+            words, at = H.words_by_text([t and t.lower() for t in texts[first:last]], H.MARKS)
             if self.ids and len(words):
                 self._find(words, at, first, out)
         return [(row, item, start, edits) for (row, item), (edits, start) in out.items()]
