@@ -2,12 +2,12 @@
 
 Texts: A-Z lower-cased, words are runs of other characters than ASCII white space, a document's set is its distinct
 shingles of `width` words (fewer words: the whole sequence). Two documents are linked where the Jaccard similarity of the
-sets is `percent` hundredths or more (five words and 80 by default); components of links are the groups. A null, empty or blank text has an empty set, is linked with
-nothing and is its own component. Rows that share a doc_id are one node; rows with a null doc_id have no links and a
-null component. Extra columns are not read. An empty table gives no rows.
+sets is `percent` hundredths or more (five words and 80 by default); components of links are the groups. A null, empty or
+blank text has an empty set, is linked with nothing and is its own component. Rows that share a doc_id are one node;
+rows with a null doc_id have no links and a null component. Extra columns are not read. An empty table gives no rows.
 
-Candidates come from bands of full minima, so a pair is missed with a probability below 0.001 at the threshold and far
-less above it. Then two low bits of each minimum, packed into four longs, give an estimate corrected for chance
+Candidates come from bands of full minima, so a pair is missed with a probability of 0.002 at a similarity of 0.8, 0.00005
+at 0.85 and less above. Then two low bits of each minimum, packed into four longs, give an estimate corrected for chance
 agreement, which chooses whom a class is first compared with. Every link is confirmed on full sets.
 
 A group of thousands of copies is not expanded into pairs. Equal sets are one class from the start. Each class is then
@@ -159,10 +159,11 @@ def _cluster_links(rows: DataFrame, texts: DataFrame, width: int, percent: int)
     """Links between the components of each cluster; rows: rep, n, cluster, component."""
     parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("c"))
     heads = parts.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("head"), F.count("*").alias("k")).where("k > 1")
-    mixed = rows.join(heads.drop("k"), "cluster")
+    # Written before it is counted by cluster: a join that feeds no aggregation of its key can be split where a cluster is hot.
+    mixed = written(rows.join(heads.drop("k"), "cluster"), "mixed")
     outside = F.col("component") != F.col("head")
     size = mixed.groupBy("cluster").agg(_chunks(F.sum("n")).alias("wide_chunks"), _chunks(F.sum(F.when(outside, F.col("n")))).alias("chunks"))
-    mixed = written(mixed.join(size, "cluster").join(texts, "rep"), "mixed")
+    mixed = written(written(mixed.join(size, "cluster"), "mixed").join(texts, "rep"), "mixed")
     all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     mine = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
     columns = ["cluster", "x", "y", "wide", "rep", "component", "text"]
