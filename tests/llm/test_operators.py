@@ -212,6 +212,29 @@ def test_deviation_is_below_one_block(spark, weights):
         assert all(abs(seen[s] - share[s] * (t + 1)) < 1 for s in n)
 
 
+@pytest.mark.parametrize("case", ["long", "many", "thousand"])
+def test_deviation_from_the_given_weights(spark, case):
+    """Against the given weights, not the weights in the result; until the first source with a weight runs out."""
+    if case == "long":
+        weights, n = {"a": 5.0, "b": 3.0, "c": 1.0}, {"a": 2500, "b": 1700, "c": 520, None: 30}
+    else:
+        k = {"many": 200, "thousand": 1000}[case]
+        weights = {f"s{i}": 1.0 + i % 7 for i in range(k - 1)} | {"big": 0.5 * 4 * (k - 1)}
+        n = {s: 3 + int(w) for s, w in weights.items()} | {"big": 700}
+    docs = spark.createDataFrame([(i, s, "x") for s, k in n.items() for i in range(k)], "doc_id long, source string, text string")
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    rows = mixing.mix(docs, given, block_rows=1).collect()
+    order = [r.source for r in sorted(rows, key=lambda r: (r.slot, r.place))]
+    assert Counter(order) == Counter(n) and sorted(r.slot for r in rows) == list(range(len(rows)))
+    total, seen = sum(weights.values()), Counter()
+    for t, source in enumerate(order, 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - w / total * t) < 1 + 1e-9 for s, w in weights.items()), t
+        if seen[source] == n[source] and source in weights:
+            break
+    assert t > 100
+
+
 def test_mixed_rows_keep_their_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, "ab"[i % 3 == 0], f"t{i}") for i in range(400)], "doc_id long, source string, text string")
     at = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs, block_rows=4).collect()}

@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source are cut into blocks of `block_rows`; the schedule gives every slot one block. Weights are rounded
-to parts of a period of PERIOD slots. Block i of a source of weight w is released at slot floor(i / w) and due before
-slot ceil((i + 1) / w); earliest deadline first then never misses a deadline, so that after any number of slots each
-source has had less than one block more or less than its share. A period's schedule is found once, as a fold over its
-slots inside one row, and repeats; a block's slot follows from its number by arithmetic. Rows are not sorted together
-and their texts are not touched.
-
-All rows are kept. A source that has run out leaves its slots empty, which leaves the proportions of the others as they
-were. Null sources are a source of their own. Repeated rows are rows. Extra columns are not read, or pass through. An
-empty table gives no rows. A source without a weight, or with one that rounds to less than a part, gets one part.
+The rows of a source are cut into blocks of `block_rows`; the schedule gives every slot one block. Block i of a source
+of weight w (a share of all weights) is released at slot floor(i / w) and due before slot ceil((i + 1) / w); earliest
+deadline first then never misses a deadline, whatever the weights, so that after any number of slots each source has had
+less than one block more or less than its share. The schedule is found once, as a fold over the slots inside one row of
+one entry a source: slots times sources steps, in one task. Rows are not sorted together and their texts are not touched.
+
+All rows are kept. Where a source has run out, slots, blocks and weights of the others count anew from there, their
+weights as shares of what remains; so no slot is empty. Null sources are a source of their own. Repeated rows are rows.
+Extra columns are not read, or pass through. An empty table gives no rows. A source without a weight, or with none above
+zero, has LEAST_WEIGHT of the sum of the others', and so follows when those have run out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from textloom.session import written
 
-PERIOD = 1000
 BLOCK_ROWS = 64
 #: Rows that are numbered together: a source of any size is dealt to as many tasks as it fills.
 GROUP_ROWS = 4096
@@ -28,6 +27,10 @@ TEMPERATURE = 0.7
 #: Tables of one row a source are broadcast up to so many rows, after a count; else they are joined by shuffle.
 FEW_SOURCES = 50_000
 LEAST_WEIGHT = 1e-12
+#: Slots that the fold collects in one array, and blocks of a source whose slots go together in one row of the plan.
+FRAME, RUN = 512, 1024
+#: The plan is broadcast up to so many blocks (8 bytes each), after a count.
+FEW_BLOCKS = 1_000_000
 
 
 def tempered_weights(sizes: DataFrame, power: float = TEMPERATURE) -> DataFrame:
@@ -35,43 +38,54 @@ def tempered_weights(sizes: DataFrame, power: float = TEMPERATURE) -> DataFrame:
     return sizes.select("source", F.pow(F.col("chars").cast("double"), F.lit(power)).alias("weight"))
 
 
-def parts(weights: DataFrame) -> DataFrame:
-    """(source, parts, start): whole parts of the period, one at least, PERIOD in all (one a source where there are more
-    sources than slots); `start` counts the parts of the sources before. Largest remainders are rounded up."""
+def shares(sizes: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
+    """(source, rows, share, blocks): one row a source of sizes; the shares add up to 1."""
     every = Window.partitionBy(F.lit(0))  # one row a source
-    w = weights.where("weight > 0").withColumn("total", F.sum("weight").over(every)).withColumn("n", F.count("*").over(every))
-    w = w.withColumn("exact", F.col("weight") / F.col("total") * F.greatest(PERIOD - F.col("n"), F.lit(0)))
-    w = w.withColumn("whole", F.floor("exact"))
-    left = F.greatest(PERIOD - F.col("n"), F.lit(0)) - F.sum("whole").over(every)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("exact") - F.col("whole")), F.col("source").asc_nulls_first()))
-    w = w.select("source", (1 + F.col("whole") + F.when(place <= left, 1).otherwise(0)).cast("int").alias("parts"))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return w.withColumn("start", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("int"))
+    named = weights.select(F.col("source").alias("__s"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).alias("weight"))
+    given = sizes.join(named, sizes["source"].eqNullSafe(named["__s"]), "left")
+    least = F.coalesce(F.sum("weight").over(every), F.lit(1.0)) * LEAST_WEIGHT
+    given = given.withColumn("weight", F.coalesce("weight", least))
+    share = F.col("weight") / F.sum("weight").over(every)
+    return given.select("source", "rows", share.alias("share"), F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"))
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """(source, parts, slots): the slots of a source's blocks 0 .. parts - 1 within a period.
+    """(source, run, slots): the slots of a source's blocks RUN * run and following; all slots are 0, 1, 2 and so on.
 
     One row holds the sources; a fold over the slots keeps each source's count of served blocks and picks, among blocks
-    that are released, the one with the earliest deadline (then the smallest source number).
+    that are released, the one with the earliest deadline (then the first source). A slot's choice is kept as one number,
+    block * sources + source. Frames of slots are folded one by one, so that an array that grows is a short one.
     """
-    one = shares.agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("src"), F.sum("parts").cast("int").alias("period"))
-    # Deadline and number of the released block of source j at slot t, given its served count; null while none is released.
+    one = shares.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNotNull().alias("k"), "source", "share", "blocks"))).alias("src"), F.sum("blocks").alias("total"))
+    # c: blocks served since slot t0, when the last source ran out; base: those before; w: shares of those that remain.
+    # Quotients are moved by a rounding error's size, so that whole ones count as such.
     due = (
-        "transform(src, (s, j) -> IF(st.served[j] < s.parts AND CAST(st.served[j] AS BIGINT) * period <= CAST(t AS BIGINT) * s.parts + s.parts - 1"
-        " AND CAST(st.served[j] AS BIGINT) * period < (CAST(t AS BIGINT) + 1) * s.parts,"
-        " struct(CAST(ceil((st.served[j] + 1) * CAST(period AS DOUBLE) / s.parts - 1e-9) AS INT) AS d, j AS j), CAST(NULL AS STRUCT<d: INT, j: INT>)))"
+        "array_min(transform(src, (s, j) -> IF(st.base[j] + st.c[j] < s.blocks{}, "
+        "struct(ceil((st.c[j] + 1) * st.w / s.share * (1 - 1e-14D)) AS d, j AS j), CAST(NULL AS STRUCT<d: BIGINT, j: INT>)))).j"
     )
-    pick = f"array_min(filter({due}, x -> x IS NOT NULL)).j"
-    # A slot's choice is kept first, then counted.
-    step = (
-        f"transform(array({pick}), p -> named_struct('served', transform(st.served, (c, j) -> IF(j <=> p, c + 1, c)), 'order', concat(st.order, array(p))))[0]"
+    # By the shares some block is always released; the second choice is for what rounding may leave.
+    pick = f"coalesce({due.format(' AND floor(st.c[j] * st.w / s.share * (1 + 1e-14D)) <= t - st.t0')}, {due.format('')})"
+    served = "transform(st.c, (c, j) -> IF(j = p, c + 1, c))"
+    total = "zip_with(st.base, st.c, (b, c) -> b + c)"
+    after = f"zip_with({total}, sequence(0, size(src) - 1), (c, j) -> IF(j = p, c + 1, c))"
+    rest = f"aggregate(zip_with(src, {after}, (s, c) -> IF(c < s.blocks, s.share, 0D)), 0D, (a, x) -> a + x)"
+    order = "concat(st.slots, array((st.base[p] + st.c[p]) * size(src) + p))"
+    same = f"named_struct('c', {served}, 'base', st.base, 't0', st.t0, 'w', st.w, 'slots', {order})"
+    anew = f"named_struct('c', transform(st.c, c -> 0L), 'base', {after}, 't0', t + 1, 'w', {rest}, 'slots', {order})"
+    step = f"transform(array({pick}), p -> IF(st.base[p] + st.c[p] + 1 < src[p].blocks, {same}, {anew}))[0]"
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    start = f"named_struct('c', transform(src, s -> 0L), 'base', transform(src, s -> 0L), 't0', 0L, 'w', 1D, 'slots', {none})"
+    frame = f"aggregate(sequence(f * {FRAME}L, least((f + 1) * {FRAME}L, total) - 1), named_struct('c', fr.st.c, 'base', fr.st.base, 't0', fr.st.t0, 'w', fr.st.w, 'slots', {none}), (st, t) -> {step})"
+    frames = (
+        f"aggregate(sequence(0L, (total - 1) DIV {FRAME}L), named_struct('st', {start}, 'all', CAST(array() AS ARRAY<ARRAY<BIGINT>>)), "
+        f"(fr, f) -> transform(array({frame}), g -> named_struct('st', g, 'all', concat(fr.all, array(g.slots))))[0]).all"
     )
-    start = "named_struct('served', transform(src, s -> 0), 'order', CAST(array() AS ARRAY<INT>))"
-    order = one.select("src", F.expr(f"aggregate(sequence(0, period - 1), {start}, (st, t) -> {step}).order").alias("order"))
-    slots = order.select(F.posexplode("order").alias("slot", "j"), "src").where("j is not null").select("slot", F.col("src")[F.col("j")]["start"].alias("start"))
-    by_source = slots.groupBy("start").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-    return shares.join(by_source, "start").select("source", "parts", "slots")
+    folded = one.where("total > 0").select(F.expr("transform(src, s -> s.source)").alias("names"), F.expr(frames).alias("frames"))
+    apart = folded.select("names", F.posexplode("frames").alias("f", "frame")).select("names", "f", F.posexplode("frame").alias("i", "x"))
+    n = F.size("names")
+    slots = apart.select(F.get("names", (F.col("x") % n).cast("int")).alias("source"), F.floor(F.col("x") / n).alias("block"), (F.col("f") * F.lit(FRAME).cast("long") + F.col("i")).alias("slot"))
+    by_run = slots.groupBy("source", F.floor(F.col("block") / RUN).alias("run"))
+    return by_run.agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # a source's slots rise with its blocks
 
 
 def _beside(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
@@ -101,22 +115,19 @@ def placed(rows: DataFrame, docs: DataFrame, order: list[Column], weights: DataF
     sizes = written(docs.groupBy("source").agg(F.count("*").alias("rows"), F.sum(lengths.cast("long")).alias("chars")), "sizes")
     small = sizes.count() <= FEW_SOURCES
     weights = tempered_weights(sizes) if weights is None else weights
-    named = weights.select(F.col("source").alias("__s"), "weight")
-    given = sizes.join(named, sizes["source"].eqNullSafe(named["__s"]), "left")
-    given = given.select("source", F.greatest(F.coalesce("weight", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT)).alias("weight"))
-    shares = written(parts(given), "shares")
-    total = shares.agg(F.sum("parts").cast("long").alias("period"))
-    plan = written(schedule(shares).join(F.broadcast(total)), "schedule")  # total: one row
-    at = _beside(number_in_source(rows, sizes, small, order), plan, small)
-    block = F.floor(F.col("__n") / block_rows).cast("long")
-    at = at.withColumn("block", block)
-    slot = F.floor(F.col("block") / F.col("parts")) * F.col("period") + F.get("slots", (F.col("block") % F.col("parts")).cast("int"))
-    at = at.withColumn("slot", slot.cast("long")).withColumn("place", (F.col("__n") % block_rows).cast("long"))
-    return at.withColumn("weight", F.col("parts") / F.col("period")).drop("__n", "parts", "slots", "period")
+    targets = written(shares(sizes, weights, block_rows), "shares")
+    plan = written(schedule(targets), "schedule")
+    few = (targets.agg(F.sum("blocks")).first()[0] or 0) <= FEW_BLOCKS
+    at = _beside(number_in_source(rows, sizes, small, order), targets.select("source", F.col("share").alias("weight")), small)
+    at = at.withColumn("block", F.floor(F.col("__n") / block_rows).cast("long")).withColumn("__run", F.floor(F.col("block") / RUN))
+    runs = plan.select(F.col("source").alias("__s"), F.col("run").alias("__r"), "slots")
+    at = at.join(F.broadcast(runs) if few else runs, at["source"].eqNullSafe(runs["__s"]) & (at["__run"] == runs["__r"]))
+    at = at.withColumn("slot", F.get("slots", (F.col("block") % RUN).cast("int")))
+    return at.withColumn("place", (F.col("__n") % block_rows).cast("long")).drop("__n", "__run", "__s", "__r", "slots")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, source, block, slot, place (in its block), weight (of the period's parts).
+    """One row per row of docs: doc_id, source, block, slot, place (in its block), weight (its source's target share).
 
     (slot, place) is the mixed order, without ties. weights: (source, weight), tempered sizes by default."""
     light = docs.select("doc_id", "source", F.xxhash64("text").alias("__t"))
