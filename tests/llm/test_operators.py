@@ -192,6 +192,34 @@ def test_methods_labels(spark):
     assert got[1] == ("mit", 1.0) and got[2] == ("apache-2.0", 1.0) and got[3][0] == "mit" and got[4] == ("", 0.0)
 
 
+NOTICES = [
+    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.'),
+    ("apache-2.0", "# You may not use this file\n# except in compliance with the License."),
+    ("mit", "Code is released\nunder the MIT License."),
+    ("mit", "Code is licensed under the\nMIT license."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"),
+    ("gpl", "This work is licensed under the GNU General\nPublic License, version 3."),
+    ("gpl", "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation"),
+    ("lgpl", "under the terms of the GNU Lesser General\nPublic License as published"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"),
+    ("cc-by", "This work is licensed under a Creative Commons\nAttribution 4.0 International License."),
+    ("cc-by", "The text is licensed\nunder CC BY 4.0."),
+    ("cc-by-nc", "The text is licensed\nunder CC BY-NC 4.0."),
+    ("cc-by-sa", "The text is licensed\nunder CC BY-SA 4.0."),
+]
+
+
+def test_wrapped_notices(spark):
+    rows = [(i, f"first line\n{text}\nlast line") for i, (_, text) in enumerate(NOTICES)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [label for i, (label, _) in enumerate(NOTICES) if label not in got[i]] == []
+    assert {label for label, _ in NOTICES} == {label for label, _ in licenses.TEMPLATES}
+    far = "Permission is hereby granted, free of charge,\n" + "other words\n" * 9 + "to any person obtaining a copy of this software"
+    assert licenses.license_scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first().labels == ""
+
+
 # -- mixing
 
 

@@ -1,7 +1,9 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates.
 
 Text: A-Z lower-cased; words are runs of characters other than ASCII marks, blanks and controls. A block is a line, or
-a sentence of it. A block matches a template where it contains at least THRESHOLD of the template's distinct words.
+a sentence of it, or a window of the text's words wherever its lines and sentences end, as notices are wrapped: a window
+is as long as its template, with a word more for each that may be missing. A block matches a template where it contains
+at least THRESHOLD of the template's distinct words. Of a window, only the words of its own template go on.
 A null, empty or wordless text has zero words, no label and score 0. Repeated rows are each judged. Columns other than
 doc_id and text are not read. An empty table gives no rows.
 
@@ -68,6 +70,20 @@ def _places(phrase: str) -> Column:
     return F.when(F.array_contains("__w", parts[-1]) & F.array_contains("__w", parts[0]), found).otherwise(F.array().cast("array<int>"))
 
 
+def _window(template: str) -> Column:
+    """The words of the template in the text's window that has most of them; null where no window has enough.
+
+    A window that has enough has them from its first template word on, so windows start at template words only."""
+    words = template.split()
+    own = _strings(sorted(set(words)))
+    enough = least(len(set(words)))
+    length = len(words) + len(set(words)) - enough
+    starts = F.filter(F.transform("__w", lambda w, i: F.when(F.array_contains(own, w), i)), lambda i: i.isNotNull())
+    found = F.transform(starts, lambda i: F.array_intersect(F.slice("__w", i + 1, length), own))
+    best = F.array_max(F.transform(F.filter(found, lambda x: F.size(x) >= enough), lambda x: F.struct(F.size(x).alias("n"), x.alias("x"))))
+    return F.when(F.size(F.array_intersect("__k", own)) >= enough, best["x"])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, places per phrase, blocks): blocks are the template words of each block that has enough."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
@@ -77,8 +93,11 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("__t", SENTENCE_END, "$1\n"), "\n")
     known = _strings(vocabulary())
     blocks = F.filter(F.transform(lines, lambda x: F.array_intersect(words(x), known)), lambda x: F.size(x) >= fewest)
-    # A text without enough template words as a whole has no such block, so its lines are not split.
-    some = F.size(F.array_intersect("__w", known)) >= fewest
+    # A text without enough template words as a whole has no such block, so its lines are not split; nor are windows of a
+    # template looked for where the whole text has not enough of its words.
+    a = a.withColumn("__k", F.array_intersect("__w", known))
+    some = F.size("__k") >= fewest
+    blocks = F.concat(blocks, F.array_compact(F.array(*(_window(t) for _, t in TEMPLATES))))
     places = [_places(p).alias(f"__p{i}") for i, p in enumerate(PHRASES)]
     return a.select("doc_id", F.size("__w").cast("bigint").alias("n_words"), *places, F.when(some, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
 
