@@ -322,18 +322,20 @@ _OTHER_SPACE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u2
 
 class Encoder:
     """Whole texts to ids. The byte-level splitter always cuts before a single space between two other characters, so
-    such pieces are encoded alone and remembered, in bounded number; texts with any other use of white space go to the
-    library whole."""
+    such pieces are encoded alone and remembered, in bounded number; texts with any other use of white space, at their
+    end too, go to the library whole. So do texts with an added token's characters where those are one id (`special`)."""
 
     #: Pieces remembered, and the longest of them.
     KEPT, LONGEST = 1 << 19, 48
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The flag of the library: special tokens' characters are coded as any others.
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.other = {}, re.compile(_OTHER_SPACE)
         # A character whose byte no other entry holds parts pieces that are encoded in one go.
         self.mark = "\x00"
@@ -370,7 +372,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.mark in text or "  " in text or " \n" in text or "\n " in text or self.other.search(text):
+            if self.mark in text or "  " in text or " \n" in text or "\n " in text or text[-1] in " \n" or self.other.search(text) or any(t in text for t in self.added):
                 whole.append(i)
                 continue
             pieces = text.replace(" ", self.mark + " ").split(self.mark)
@@ -393,7 +395,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 def segments(docs: DataFrame, tokenizer: str, order: list[str] | None = None) -> DataFrame:
