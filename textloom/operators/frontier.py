@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from textloom.functions import html as H
 from textloom.functions import links as L
 from textloom.session import durable
 
+#: Levels of a crawl whose tables are merged into one, so that plans of deep crawls stay short.
+MERGE_LEVELS = 20
 NEW, PROCESSING, DONE, FAILED = "new", "processing", "done", "failed"
 
 
@@ -79,7 +82,7 @@ class CrawlConfig:
     prefix: str = "/article/"
     captcha: str = "captcha"
     marker: str = "articleBody"
-    max_depth: int = 50
+    max_depth: int | None = None
 
 
 def crawl(
@@ -88,8 +91,8 @@ def crawl(
     """Breadth-first by levels: (queue(url, status, depth), articles(url, html, source_name)).
 
     pages(url, html) stands for the network: a url without a row fails. Each level is one join of the frontier with
-    pages; levels are checkpointed. A captcha page ends the crawl after its level and leaves its url new, as an
-    interrupt does. `links` maps the level's article rows to (url); the default extracts and filters hrefs. `queue`
+    pages; levels are checkpointed. There is no depth limit unless one is given. A captcha page ends the crawl after its
+    level and leaves its url new, as an interrupt does. What a crawl that ends early has found but not visited is new. `links` maps the level's article rows to (url); the default extracts and filters hrefs. `queue`
     resumes an earlier crawl: its done and failed urls are not visited, its new and processing ones are seeds.
     """
 
@@ -105,21 +108,27 @@ def crawl(
         again = queue.where(~F.col("status").isin(DONE, FAILED)).select("url")
         frontier = only_new(frontier.union(again), seen)
     articles = None
-    for depth in range(config.max_depth + 1):
+    for depth in count():
+        if config.max_depth is not None and depth > config.max_depth:
+            break
         level = frontier.join(pages.select("url", "html"), "url", "left").withColumn("way", route(F.col("html"), config.captcha, config.marker))
         level = durable(level.withColumn("depth", F.lit(depth).cast("long")))
         if level.isEmpty():
+            frontier = frontier.limit(0)
             break
         status = F.when(F.col("way") == "failed", FAILED).when(F.col("way") == "captcha", NEW).otherwise(DONE)
         rows = level.select("url", status.alias("status"), "depth")
         seen = rows if seen is None else seen.unionByName(rows)
         got = level.where(F.col("way") == "article").select("url", "html", L.authority(F.col("url")).alias("source_name"))
         articles = got if articles is None else articles.unionByName(got)
+        if depth % MERGE_LEVELS == MERGE_LEVELS - 1:
+            seen, articles = durable(seen), durable(articles)
+        frontier = only_new(links(level.where(F.col("way") == "article")), seen)
         if not level.where(F.col("way") == "captcha").isEmpty():
+            depth += 1
             break
-        frontier = only_new(links(level.where(F.col("way") == "article")), seen)
-    if seen is None or articles is None:
-        spark = seeds.sparkSession
-        seen = seen if seen is not None else spark.createDataFrame([], "url string, status string, depth long")
-        articles = spark.createDataFrame([], "url string, html string, source_name string")
+    rest = frontier.select("url", F.lit(NEW).alias("status"), F.lit(depth).cast("long").alias("depth"))
+    seen = rest if seen is None else seen.unionByName(rest)
+    if articles is None:
+        articles = seeds.sparkSession.createDataFrame([], "url string, html string, source_name string")
     return seen, articles
