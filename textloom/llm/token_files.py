@@ -3,15 +3,8 @@
 A table of segments is the file format; each row is one segment of whole documents in doc_id order and can be decoded
 alone: part, segment, start (tokens of the part before it), n_tokens, doc_ids, lengths, payload. The payload is a
 header and blocks of BLOCK_TOKENS ids: for each block its coded size and the crc32 of its ids, then the coded words.
-A damaged block is found by its checksum and touches no other block.
-
-A block starts from the same empty statistics. For each id the coder mixes three predictions: the id that last followed
-the two ids before (order 2), the one that last followed the id before (order 1), and counts of the ids so far (order
-0). The records of the order-2 and order-1 contexts and whether they agree choose an adaptive split of the code range
-between "order 2 is right", "order 1 is right" and "neither"; the rest is split by order-0 counts, with room for ids not
-seen yet. Predictions and records change with every id; the split and the counts are brought up to date at fixed places
-of a block, so that each id is one coding step with shifts for divisions. All is integer arithmetic: files decode alike
-everywhere. All blocks of a segment are coded in step, one id of each at a time, as vectors.
+A damaged block is found by its checksum and touches no other block. Coding is in `context_mixing`: every block starts
+from empty statistics of order 0 to 2; all blocks of a segment are coded in step.
 
 A null or empty text is just the end id. Rows that share a doc_id stay in the order of their texts. Extra columns are
 not read. An empty table gives no segments.
@@ -31,266 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.context_mixing import BLOCK_TOKENS, IDS, decode_blocks, encode_blocks
 from textloom.llm.hashing import chunks
 from textloom.session import shared_dir
 
-BLOCK_TOKENS = 4096
 #: Blocks of a segment, about; a segment ends with a document.
 SEGMENT_BLOCKS = 1024
 END_ID = 0
-MAGIC = b"TLT1"
-IDS = 1 << 16
-#: Slots of the context tables of a block.
-SLOTS = 1 << 10
-#: Places of a block at which split and counts are brought up to date.
-REFRESH = (64, 256, 1024, 2560)
-#: Ids of a block that the encoder looks up at a time; it changes nothing in the files.
-STRIP = 128
-#: Bits of the split and of the order-0 range; of the latter, SEEN is for ids seen before.
-SPLIT_BITS, COUNT_BITS = 10, 18
-SEEN = (1 << COUNT_BITS) - IDS
-_BITS = np.uint64(SPLIT_BITS + COUNT_BITS)
-_MASK48, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
+#: Of the second form of payloads.
+MAGIC = b"TLT2"
 SEGMENTS = "part int, segment int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-class _Writer:
-    """Range coders of many blocks in step: 48 bits of low and range, 16-bit words, carries added to words already out."""
-
-    def __init__(self, lanes: int, capacity: int):
-        self.range, self.low = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64)
-        self.words, self.at = np.zeros((lanes, capacity), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        """Codes one symbol in each of the first n blocks."""
-        width, low = self.range[:n], self.low[:n]
-        step = width >> _BITS
-        low += step * start
-        np.multiply(step, size, out=width)
-        where = np.flatnonzero(low > _MASK48)
-        if len(where):
-            low[where] &= _MASK48
-            back = self.at[where] - 1
-            while len(where):
-                self.words[where, back] += np.uint16(1)
-                again = self.words[where, back] == 0
-                where, back = where[again], back[again] - 1
-        while len(out := np.flatnonzero(width < _LEAST)):
-            self.words[out, self.at[out]] = low[out] >> np.uint64(32)
-            self.at[out] += 1
-            low[out] = (low[out] << np.uint64(16)) & _MASK48
-            width[out] <<= np.uint64(16)
-
-    def finish(self) -> list[bytes]:
-        """Emits the last words; each block's coded bytes."""
-        lane = np.arange(len(self.low))
-        for _ in range(3):
-            self.words[lane, self.at] = self.low >> np.uint64(32)
-            self.low = (self.low << np.uint64(16)) & _MASK48
-            self.at += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
-
-
-class _Reader:
-    """The other direction."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, lanes = words, len(words)
-        self.range, self.code, self.at = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, 3)
-        for i in range(3):
-            self.code = (self.code << np.uint64(16)) | words[:, i]
-
-    def aim(self, n: int) -> np.ndarray:
-        """The place in the range of totals that each code points at."""
-        self.step = self.range[:n] >> _BITS
-        return np.minimum(self.code[:n] // self.step, (np.uint64(1) << _BITS) - np.uint64(1))
-
-    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        width, code = self.range[:n], self.code[:n]
-        code -= self.step * start
-        np.multiply(self.step, size, out=width)
-        while len(out := np.flatnonzero(width < _LEAST)):
-            code[out] = (code[out] << np.uint64(16)) | self.words[out, self.at[out]]
-            self.at[out] += 1
-            width[out] <<= np.uint64(16)
-
-
-class _Model:
-    """Statistics of many blocks in step."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        #: By context slot: (id + 1) * 8 + times right in a row, 7 at most; 0 is an empty slot.
-        self.after_two, self.after_one = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
-        self.base = self.lane * SLOTS
-        self.kinds = np.tile(np.array([1.0, 1.0, 2.0]), (lanes * 128, 1))
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._split()
-        self._order0()
-
-    def look(self, n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1, and the number of the split, after ids a, b."""
-        self.at_two = self.base[:n] + (((a * 40503 + b * 30011) >> 3) & (SLOTS - 1))
-        self.at_one = self.base[:n] + (b & (SLOTS - 1))
-        self.two, self.one = self.after_two[self.at_two], self.after_one[self.at_one]
-        guess_two, guess_one = (self.two >> 3) - 1, (self.one >> 3) - 1
-        split = (self.lane[:n] << 7) | ((self.two & 7) << 4) | ((self.one & 7) << 1) | (guess_two == guess_one)
-        return guess_two, guess_one, split
-
-    def learn(self, ids: np.ndarray, right_two: np.ndarray, right_one: np.ndarray) -> None:
-        fresh = ((ids + 1) << 3).astype(np.int32)
-        self.after_two[self.at_two] = np.where(right_two, np.minimum(self.two + 1, fresh | 7), fresh)
-        self.after_one[self.at_one] = np.where(right_one, np.minimum(self.one + 1, fresh | 7), fresh)
-
-    def refresh(self, split: np.ndarray, kind: np.ndarray, keys: np.ndarray) -> None:
-        """Takes in what was coded since the last time: splits and kinds, and block * IDS + id of ids of kind 2."""
-        self.kinds += np.bincount(split * 3 + kind, minlength=self.kinds.size).reshape(-1, 3)
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        both, times = both[order], np.concatenate([self.counts, np.ones(len(keys), np.int64)])[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-        self.keys, self.counts = both[first], np.add.reduceat(times, first) if len(first) else times
-        self._split()
-        self._order0()
-
-    def _split(self) -> None:
-        """Bounds of the split: ends of kind 0 and kind 1 among 2 ** SPLIT_BITS, no kind empty."""
-        room, total = (1 << SPLIT_BITS) - 3, self.kinds.sum(axis=1)
-        self.end0 = 1 + (self.kinds[:, 0] * room // total).astype(np.int64)
-        self.end1 = self.end0 + 1 + (self.kinds[:, 1] * room // total).astype(np.int64)
-
-    def _order0(self) -> None:
-        """Start and size of each seen id in its block's order-0 range."""
-        lanes, block = len(self.lane), self.keys >> 16
-        distinct, total = np.bincount(block, minlength=lanes), np.bincount(block, weights=self.counts, minlength=lanes).astype(np.int64)
-        self.size = 1 + self.counts * (SEEN - distinct[block]) // np.maximum(total[block], 1)
-        ends = np.cumsum(self.size)
-        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(distinct)[:-1]])]
-        self.start = ends - self.size - before[block]
-        self.places = (block << COUNT_BITS) + self.start
-        self.some = distinct > 0
-
-    def interval(self, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of ids in the order-0 ranges of their blocks."""
-        key = (block << 16) | ids
-        some = self.some[block]
-        start, size = np.where(some, SEEN + ids, ids << (COUNT_BITS - 16)), np.where(some, 1, 1 << (COUNT_BITS - 16))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            start, size = np.where(known, self.start[at], start), np.where(known, self.size[at], size)
-        return start, size
-
-    def find(self, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, size) at places of the order-0 ranges."""
-        some = self.some[block]
-        shift = COUNT_BITS - 16
-        ids = np.where(some, place - SEEN, place >> shift)
-        start, size = np.where(some, place, ids << shift), np.where(some, 1, 1 << shift)
-        known = np.flatnonzero(some & (place < SEEN))
-        if len(known):
-            at = np.searchsorted(self.places, (block[known] << COUNT_BITS) + place[known], "right") - 1
-            ids[known], start[known], size[known] = self.keys[at] & (IDS - 1), self.start[at], self.size[at]
-        return ids, start, size
-
-
-def _phases(longest: int) -> list[tuple[int, int]]:
-    ends = [e for e in REFRESH if e < longest] + [longest]
-    return list(zip([0, *ends[:-1]], ends, strict=True))
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded bytes of each block of ids."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    longest = int(sizes.max(initial=0))
-    ids = np.zeros((longest + 2, len(blocks)), np.int64)  # two zeros come before
-    for row, i in enumerate(order):
-        ids[2 : 2 + len(blocks[i]), row] = blocks[i]
-    width = [int(np.searchsorted(-sizes, -t, "left")) for t in range(longest)]  # blocks that have an id at t
-    writer, model = _Writer(len(blocks), 2 * longest + 8), _Model(len(blocks))
-    for first, last in _phases(longest):
-        splits, kinds, keys = [], [], []
-        for low in range(first, last, STRIP):
-            steps = range(low, min(low + STRIP, last))
-            some_splits, some_kinds = [], []
-            for t in steps:
-                n = width[t]
-                x = ids[t + 2, :n]
-                two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
-                right_two, right_one = two == x, one == x
-                model.learn(x, right_two, right_one)
-                some_splits.append(split)
-                some_kinds.append(np.where(right_two, 0, np.where(right_one, 1, 2)))
-            split, kind = np.concatenate(some_splits), np.concatenate(some_kinds)
-            end0, end1 = model.end0[split], model.end1[split]
-            start = np.where(kind == 0, 0, end0) << COUNT_BITS
-            size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
-            new = np.flatnonzero(kind == 2)
-            block = np.concatenate([model.lane[: width[t]] for t in steps])[new]
-            x = np.concatenate([ids[t + 2, : width[t]] for t in steps])[new]
-            rest, (start0, size0) = (1 << SPLIT_BITS) - end1[new], model.interval(block, x)
-            start[new], size[new] = (end1[new] << COUNT_BITS) + rest * start0, rest * size0
-            start, size, at = start.astype(np.uint64), size.astype(np.uint64), 0
-            for t in steps:
-                writer.put(width[t], start[at : at + width[t]], size[at : at + width[t]])
-                at += width[t]
-            if last < longest:
-                splits.append(split)
-                kinds.append(kind)
-                keys.append((block << 16) | x)
-        if last < longest:
-            model.refresh(np.concatenate(splits), np.concatenate(kinds), np.concatenate(keys))
-    coded: list = [b""] * len(blocks)
-    for row, out in enumerate(writer.finish()):
-        coded[order[row]] = out
-    return coded
-
-
-def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of each block."""
-    order = sorted(range(len(coded)), key=lambda i: -lengths[i])
-    sizes = np.array([lengths[i] for i in order], np.int64)
-    longest = int(sizes.max(initial=0))
-    # Room for what a damaged block may run on to; its checksum tells.
-    words = np.zeros((len(coded), max(max((len(c) for c in coded), default=0) // 2, 2 * longest) + 8), np.uint16)
-    for row, i in enumerate(order):
-        words[row, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
-    reader, model = _Reader(words), _Model(len(coded))
-    ids = np.zeros((longest + 2, len(coded)), np.int64)
-    low = (1 << COUNT_BITS) - 1
-    for first, last in _phases(longest):
-        splits, kinds, keys = [], [], []
-        for t in range(first, last):
-            n = int(np.searchsorted(-sizes, -t, "left"))
-            two, one, split = model.look(n, ids[t, :n], ids[t + 1, :n])
-            end0, end1 = model.end0[split], model.end1[split]
-            aim = reader.aim(n).astype(np.int64)
-            part = aim >> COUNT_BITS
-            kind = (part >= end0).astype(np.int64) + (part >= end1)
-            start = np.where(kind == 0, 0, end0) << COUNT_BITS
-            size = np.where(kind == 0, end0, end1 - end0) << COUNT_BITS
-            x = np.where(kind == 0, two, one).astype(np.int64)
-            new = np.flatnonzero(kind == 2)
-            if len(new):
-                rest, base = (1 << SPLIT_BITS) - end1[new], end1[new] << COUNT_BITS
-                found, start0, size0 = model.find(new, np.minimum((aim[new] - base) // rest, low))
-                x[new] = found
-                start[new], size[new] = base + rest * start0, rest * size0
-                keys.append((new << 16) | found)
-            reader.take(n, start.astype(np.uint64), size.astype(np.uint64))
-            model.learn(x, two == x, one == x)
-            splits.append(split)
-            kinds.append(kind)
-            ids[t + 2, :n] = x
-        if last < longest:
-            model.refresh(np.concatenate(splits), np.concatenate(kinds), np.concatenate(keys) if keys else np.zeros(0, np.int64))
-    out: list = [None] * len(coded)
-    for row, i in enumerate(order):
-        out[i] = ids[2 : 2 + lengths[i], row]
-    return out
-
-
 def pack(ids: np.ndarray) -> bytes:
     """A payload: header, directory of blocks, coded blocks."""
     if len(ids) and int(ids.max()) >= IDS:
@@ -321,20 +66,19 @@ _OTHER_SPACE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u2
 
 
 class Encoder:
-    """Whole texts to ids. The byte-level splitter always cuts before a single space between two other characters, so
-    such pieces are encoded alone and remembered, in bounded number; texts with any other use of white space, at their
-    end too, go to the library whole. So do texts with an added token's characters where those are one id (`special`)."""
+    """Whole texts to the ids of the library's plain call. The byte-level splitter always cuts before a single space
+    between two other characters, so such pieces are encoded alone and remembered, in bounded number. A text's first
+    piece, which no space leads, is encoded by itself; texts with any other use of white space, at their end too, or with
+    the characters of an added token go to the library whole."""
 
     #: Pieces remembered, and the longest of them.
-    KEPT, LONGEST = 1 << 19, 48
+    KEPT, LONGEST = 1 << 20, 32
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The flag of the library: special tokens' characters are coded as any others.
-        self.tokenizer.encode_special_tokens = not special
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.other = {}, re.compile(_OTHER_SPACE)
         # A character whose byte no other entry holds parts pieces that are encoded in one go.
@@ -365,7 +109,7 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         out: list = [b""] * len(texts)
-        whole, open_ = [], []
+        whole, open_, firsts = [], [], []
         if len(self.memo) > self.KEPT:
             self.memo.clear()
         get = self.memo.get
@@ -376,13 +120,18 @@ class Encoder:
                 whole.append(i)
                 continue
             pieces = text.replace(" ", self.mark + " ").split(self.mark)
-            if not pieces[0]:
-                del pieces[0]
             parts = list(map(get, pieces))
+            if parts[0] is None:
+                firsts.append((i, pieces[0]))
             if None in parts:
                 open_.append((i, pieces, parts))
             else:
                 out[i] = b"".join(parts)
+        begun = dict(zip((p for _, p in firsts), self._encoded([p for _, p in firsts]), strict=True))
+        for i, pieces, parts in open_:
+            if parts[0] is None:
+                parts[0] = begun[pieces[0]]
+        self.memo.update((p, v) for p, v in begun.items() if len(p) <= self.LONGEST)
         unknown = list({p for _, pieces, parts in open_ for p, known in zip(pieces, parts, strict=True) if known is None})
         new = dict(zip(unknown, self._pieces(unknown), strict=True))
         for i, pieces, parts in open_:
@@ -395,7 +144,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path, special=True)
+    return Encoder(path)
 
 
 def segments(docs: DataFrame, tokenizer: str, order: list[str] | None = None) -> DataFrame:
