@@ -1,9 +1,12 @@
 """Operators against plain versions, round trips and held-out labels."""
 
+import heapq
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import ceil, floor
 
 import duckdb
 import numpy as np
@@ -266,8 +269,49 @@ def test_wrapped_notices(spark):
 # -- mixing
 
 
+def slow_schedule(weights, n):
+    """Sources by slot: earliest deadline first, slot by slot over a heap, for windows from exact rational flow."""
+    order = sorted(n, key=lambda s: (s is not None, s or ""))
+    total = sum(weights.values())
+    share = {s: Fraction(weights[s]) / total for s in order}
+    end = {s: n[s] / share[s] for s in order}
+    last, out = sorted(order, key=lambda s: end[s]), []
+    time = lambda v: sum(n[s] if end[s] <= v else v * share[s] for s in last)
+    windows = sorted((floor(time(i / share[s])), ceil(time((i + 1) / share[s])), k) for k, s in enumerate(order) for i in range(n[s]))
+    ready, at = [], 0
+    for t in range(len(windows)):
+        while at < len(windows) and windows[at][0] <= t:
+            heapq.heappush(ready, windows[at][1:])
+            at += 1
+        due, k = heapq.heappop(ready)
+        assert due > t
+        out.append(order[k])
+    return out
+
+
+def mixed_order(spark, weights, n, block_rows=1):
+    docs = spark.createDataFrame([(i, s, "x") for s, k in n.items() for i in range(k)], "doc_id long, source string, text string")
+    rows = mixing.mix(docs, spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double"), block_rows=block_rows).collect()
+    assert len(rows) == sum(n.values()) == len({(r.slot, r.place) for r in rows})
+    return {r.slot: r.source for r in rows}
+
+
+@pytest.mark.parametrize("case", ["even", "few", "skew", "many"])
+def test_schedule_is_earliest_deadline_first(spark, case):
+    rng = random.Random(8)
+    weights, n = {
+        "even": ({"a": 1, "b": 1, "c": 2}, {"a": 130, "b": 40, "c": 200}),
+        "few": ({"a": 5, "b": 3, "c": 1, None: 2}, {"a": 700, "b": 500, "c": 150, None: 60}),
+        "skew": ({"a": 100_000, "b": 1, "c": 3}, {"a": 900, "b": 20, "c": 5}),
+        "many": ({f"s{i}": rng.randint(1, 9) for i in range(70)} | {"big": 150}, {f"s{i}": rng.randint(1, 9) for i in range(70)} | {"big": 200}),
+    }[case]
+    slots = mixed_order(spark, weights, n)
+    assert [slots[t] for t in range(len(slots))] == slow_schedule(weights, n)
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0}])
 def test_deviation_is_below_one_block(spark, weights):
+    """Against the given weights; a source without one has next to none. The weights are those in the result, too."""
     n = {"a": 700, "b": 500, "c": 150, None: 60}
     docs = spark.createDataFrame([(i, s, "x" * (i % 40)) for s, k in n.items() for i in range(k)], "doc_id long, source string, text string")
     given = weights and spark.createDataFrame(list(weights.items()), "source string, weight double")
@@ -275,6 +319,8 @@ def test_deviation_is_below_one_block(spark, weights):
     assert len(rows) == 1410 and len({(r.slot, r.place) for r in rows}) == 1410
     share = {r.source: r.weight for r in rows}
     assert abs(sum(share.values()) - 1) < 1e-9
+    if weights:
+        assert all(abs(share[s] - w / 9) < 1e-9 for s, w in weights.items())
     slots = {r.slot: r.source for r in rows}
     end = min(max(r.slot for r in rows if r.source == s) for s in n)
     seen = Counter()
@@ -283,27 +329,17 @@ def test_deviation_is_below_one_block(spark, weights):
         assert all(abs(seen[s] - share[s] * (t + 1)) < 1 for s in n)
 
 
-@pytest.mark.parametrize("case", ["long", "many", "thousand"])
-def test_deviation_from_the_given_weights(spark, case):
-    """Against the given weights, not the weights in the result; until the first source with a weight runs out."""
-    if case == "long":
-        weights, n = {"a": 5.0, "b": 3.0, "c": 1.0}, {"a": 2500, "b": 1700, "c": 520, None: 30}
-    else:
-        k = {"many": 200, "thousand": 1000}[case]
-        weights = {f"s{i}": 1.0 + i % 7 for i in range(k - 1)} | {"big": 0.5 * 4 * (k - 1)}
-        n = {s: 3 + int(w) for s, w in weights.items()} | {"big": 700}
-    docs = spark.createDataFrame([(i, s, "x") for s, k in n.items() for i in range(k)], "doc_id long, source string, text string")
-    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
-    rows = mixing.mix(docs, given, block_rows=1).collect()
-    order = [r.source for r in sorted(rows, key=lambda r: (r.slot, r.place))]
-    assert Counter(order) == Counter(n) and sorted(r.slot for r in rows) == list(range(len(rows)))
-    total, seen = sum(weights.values()), Counter()
-    for t, source in enumerate(order, 1):
-        seen[source] += 1
-        assert all(abs(seen[s] - w / total * t) < 1 + 1e-9 for s, w in weights.items()), t
-        if seen[source] == n[source] and source in weights:
-            break
-    assert t > 100
+def test_ten_thousand_sources_of_unequal_weights(spark):
+    """Every source within a block of its given share at any time until the first has run out."""
+    weights = {f"s{i}": 1 + i % 5 for i in range(10_000)} | {"big": 100_000}
+    n = {s: 1 for s in weights} | {"big": 9_000}
+    slots = mixed_order(spark, weights, n)
+    total, big = sum(weights.values()), 0
+    for t in range(9_000):
+        big += slots[t] == "big"
+        assert abs(big - weights["big"] / total * (t + 1)) < 1
+    first = {slots[t]: t for t in reversed(range(len(slots)))}
+    assert all(first[s] < total / w for s, w in weights.items())  # due before the flow of its first block ends
 
 
 def test_mixed_rows_keep_their_order(spark, tmp_path):
