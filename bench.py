@@ -11,7 +11,7 @@ from textloom import registry
 from textloom.operators import index as I
 from textloom.operators import tokens as T
 from textloom.plans import search as P
-from textloom.session import spread
+from textloom.session import shared_dir, spread
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -35,9 +35,9 @@ def main() -> None:
     took = {n: timed(lambda n=n: drain(registry.QUERIES[n](spark, SF))) for n in NAMES}
     docs = spread(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     mb = docs.agg(F.sum(F.octet_length("text"))).first()[0] / 1e6
-    root = f"/tmp/textloom-bench-{os.getpid()}"
+    root = f"{shared_dir(spark)}/bench-index-{os.getpid()}"
     took["index_build_and_save"] = timed(lambda: I.build_index(docs).save(root, buckets=16))
-    stored = I.Index.load(spark, root, buckets=16)
+    stored = I.Index.load(spark, root)
     n = stored.dictionary.count()
     frequent = [r.term for r in stored.dictionary.orderBy(F.desc("doc_freq")).limit(12).collect()]
     some = [r.term for r in T.top_terms(stored.dictionary.withColumnRenamed("doc_freq", "freq").where("freq < 50"), 12).collect()]

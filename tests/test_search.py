@@ -82,5 +82,40 @@ def test_batch_takes_words_as_they_are(index):
 
 def test_saved_index(spark, index, tmp_path):
     index.save(str(tmp_path), buckets=4)
-    stored = I.Index.load(spark, str(tmp_path), buckets=4)
+    stored = I.Index.load(spark, str(tmp_path))
     assert sorted(r[0] for r in P.search(stored, "(терапия || лечение) && данные").collect()) == [1, 2]
+
+
+def test_bucket_on_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    terms = ["", "a", "ab", "abc", "abcd", "терапи", "ёж", "covid-19", "x" * 300]
+    rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", I.bucket_of(F.col("t"), 64).alias("b")).collect()
+    assert [r.b for r in rows] == [I.term_bucket(r.t, 64) for r in rows]
+
+
+def test_stemmed_frame_agrees_with_the_column(spark):
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    from textloom.functions import rules as R
+
+    ends = sorted({x for group in (R.GERUND, R.ADJECTIVE, R.PARTICIPLE, R.VERB, R.NOUN, R.SUPERLATIVE) for x in group.split("|")}) + ["нн", "ь", ""]
+    words = [s + a + b for s, a, b in product(["", "б", "ба", "бя", "абя", "бе", "бел", "бау", "ыя", "бяа", "x"], ends, ends)]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.col("w").alias("s"))
+    for r in X.stemmed(frame, "s").collect():
+        assert r.s == X.stem_word(r.w), r.w
+
+
+def test_batch_equals_single_searches(index):
+    texts = [t for t in ANSWERS if t.strip() and t != "()"]
+    got = P.search_batch(index, list(enumerate(texts)), analyzed=True).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == sorted((i, d) for i, t in enumerate(texts) for d in ANSWERS[t])
+
+
+def test_gaps_of_a_term_over_many_partitions(spark):
+    posts = spark.createDataFrame([(t, d) for t, n in (("a", 1), ("b", 500), ("c", 3)) for d in range(5, 5 + 7 * n, 7)], "term string, doc_id long")
+    gaps = I.encode_gaps(posts)
+    assert sorted(map(tuple, gaps.collect())) == sorted((t, d, 5 if d == 5 else 7) for t, d in map(tuple, posts.collect()))
+    assert sorted(map(tuple, I.decode_gaps(gaps).collect())) == sorted(map(tuple, posts.collect()))

@@ -19,7 +19,7 @@ def test_a_chain_is_followed_to_its_end(spark):
 
 
 def test_what_was_found_is_new(spark):
-    pages = {"a0": page("b", "c"), "b": page("d"), "c": "captcha", "d": page("e"), "e": page()}
+    pages = {"a0": page("b", "c"), "b": page("d"), "c": "<p>Вы точно человек?</p>", "d": page("e"), "e": page()}
     seen, got, _ = _crawl(spark, pages)
     assert got == {"a0": ("done", 0), "b": ("done", 1), "c": ("new", 1), "d": ("new", 2)}
     _, again, _ = _crawl(spark, pages | {"c": page("f"), "f": page()}, queue=seen)

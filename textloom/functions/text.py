@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import rules as R
@@ -47,6 +47,47 @@ def stem(token: Column) -> Column:
     return F.when(is_ascii(token), token).otherwise(t)
 
 
+def _cut(t: Column, vowel: Column, suffixes: str, after_a: bool, keep: int = 0) -> Column:
+    """The token without the one suffix that it has in the right place, else as it is.
+
+    No suffix of a list ends another one that could stand at the same place, so the order of the tests is free. `vowel` is
+    the place of the first vowel, 0 without one; what is left of the token must hold it. `keep` characters stay."""
+    n = F.char_length(t)
+    whole = F
+    for size in sorted({len(x) for x in suffixes.split("|")}):
+        ends = F.right(t, F.lit(size)).isin([x for x in suffixes.split("|") if len(x) == size])
+        if after_a:
+            last = F.substring(t, n - size, F.lit(1))
+            place = (n > size) & ((last == "а") | ((last == "я") & (vowel < n - size)))
+        else:
+            place = vowel <= n - size
+        short = F.substring(t, F.lit(1), n - size + keep)
+        whole = whole.when(ends & place, short)
+    return F.when(vowel > 0, whole.otherwise(t)).otherwise(t)
+
+
+def stemmed(frame: DataFrame, column: str) -> DataFrame:
+    """The frame with a column of lower-cased tokens stemmed, as stem() does it; one projection a step and one look for the
+    first vowel in all, which the steps leave where it is. The generator at the end holds the optimizer from writing a
+    filter on the stems in terms of the tokens, which would copy every step many times over."""
+    rest = [c for c in frame.columns if c != column]
+    t, v = F.col(column), F.col("__v")
+    first = F.when(is_ascii(t), F.lit(0)).otherwise(F.regexp_instr(t, F.lit(f"[{R.VOWELS}]")))
+    frame = frame.select(*rest, first.alias("__v"), column)
+
+    def step(frame, to):
+        return frame.select(*rest, "__v", to.alias(column))
+
+    frame = step(frame, _cut(t, v, R.GERUND, True))
+    frame = frame.select(*rest, "__v", column, _cut(t, v, R.ADJECTIVE, False).alias("__a"))
+    frame = step(frame, F.when(F.col("__a") == t, t).otherwise(_cut(F.col("__a"), v, R.PARTICIPLE, True)))
+    frame = step(frame, _cut(t, v, R.VERB, True))
+    frame = step(frame, _cut(t, v, R.NOUN, False))
+    frame = step(frame, _cut(t, v, R.SUPERLATIVE, False))
+    frame = step(frame, _cut(t, v, "нн", False, keep=1))
+    return frame.select(*rest, F.explode(F.array(_cut(t, v, "ь", False))).alias(column))
+
+
 def is_valid(token: Column, min_chars: int = 1) -> Column:
     # A token of hyphens also starts with one; only tokens that start with a digit are looked at for other characters.
     digits = (token >= "0") & (token < ":") & token.rlike("^[0-9]+$")

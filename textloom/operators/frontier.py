@@ -15,6 +15,8 @@ from textloom.session import durable
 
 #: Levels of a crawl whose tables are merged into one, so that plans of deep crawls stay short.
 MERGE_LEVELS = 20
+#: The phrase of a captcha page and the marker of an article page.
+CAPTCHA, ARTICLE = "Вы точно человек?", "articleBody"
 NEW, PROCESSING, DONE, FAILED = "new", "processing", "done", "failed"
 
 
@@ -67,7 +69,7 @@ def release(queue: DataFrame) -> DataFrame:
     return queue.withColumn("status", F.when(F.col("status") == PROCESSING, NEW).otherwise(F.col("status")))
 
 
-def route(html: Column, captcha: str = "captcha", marker: str = "articleBody") -> Column:
+def route(html: Column, captcha: str = CAPTCHA, marker: str = ARTICLE) -> Column:
     """What becomes of a fetched page: failed, captcha, skipped or article."""
     return (
         F.when(html.isNull(), F.lit("failed")).when(H.has_marker(html, captcha), F.lit("captcha"))
@@ -80,8 +82,8 @@ class CrawlConfig:
     domains: tuple[str, ...] = ()
     pattern: str = "^https?://[^/]+/article/(n|c)/.+"
     prefix: str = "/article/"
-    captcha: str = "captcha"
-    marker: str = "articleBody"
+    captcha: str = CAPTCHA
+    marker: str = ARTICLE
     max_depth: int | None = None
 
 

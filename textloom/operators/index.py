@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.ordering import number_rows, running_sum
-from textloom.operators.tokens import tokens
+from textloom.operators.ordering import number_rows, previous_in_group, running_in_group, running_sum
+from textloom.operators.tokens import doc_terms
 
 #: Postings are stored in this many folders by term hash, so a query reads only the folders of its terms.
 BUCKETS = 64
@@ -36,15 +36,14 @@ def posting_arrays(posts: DataFrame) -> DataFrame:
 
 
 def encode_gaps(posts: DataFrame) -> DataFrame:
-    """(term, doc_id, gap): difference to the previous id of the term, the first to 0."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return posts.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(w)).alias("gap"))
+    """(term, doc_id, gap): difference to the previous id of the term, the first to 0. Frequent terms are dealt on by id."""
+    before = previous_in_group(posts.select("term", "doc_id"), "term", "doc_id", "__before")
+    return before.select("term", "doc_id", (F.col("doc_id") - F.col("__before")).alias("gap"))
 
 
 def decode_gaps(gaps: DataFrame, order: str = "doc_id") -> DataFrame:
     """(term, decoded): running sum of the gaps."""
-    w = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(w).alias("decoded"))
+    return running_in_group(gaps, "term", order, "gap", "decoded").select("term", "decoded")
 
 
 def gap_arrays(posts: DataFrame) -> DataFrame:
@@ -91,10 +90,15 @@ class Index:
     forward: DataFrame
     buckets: int | None = None
 
+    @staticmethod
+    def write_settings(spark: SparkSession, path: str, buckets: int) -> None:
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/settings")
+
     def save(self, path: str, buckets: int = BUCKETS) -> None:
         """Postings partitioned by term hash and sorted by term inside files, so row groups prune on term.
 
-        A frequent term's postings are dealt on over several files by doc_id."""
+        A frequent term's postings are dealt on over several files by doc_id. The number of buckets is stored beside."""
+        self.write_settings(self.postings.sparkSession, path, buckets)
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(8))
         (
             self.postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -105,23 +109,44 @@ class Index:
         self.forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/forward")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "forward")), buckets=buckets)
+    def load(spark: SparkSession, path: str) -> Index:
+        """A stored index, or one that grows by batches: there a document is in one batch, so frequencies add up."""
+        buckets = spark.read.parquet(f"{path}/settings").first().buckets
+        posts, terms, docs = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "forward"))
+        if "batch" in terms.columns:
+            posts, docs = posts.drop("batch"), docs.drop("batch")
+            terms = terms.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"))
+        return Index(posts, terms, docs, buckets)
 
     def lists_of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms; on a stored index the folder filter prunes files before the term filter does."""
         hits = self.postings.where(F.col("term").isin(terms))
         if self.buckets:
-            hits = hits.where(F.col("bucket").isin(sorted({_spark_bucket(hits.sparkSession, t, self.buckets) for t in terms})))
+            hits = hits.where(F.col("bucket").isin(sorted({term_bucket(t, self.buckets) for t in terms})))
         return hits.select("term", "doc_id")
 
 
-def _spark_bucket(spark: SparkSession, term: str, buckets: int) -> int:
-    return spark.range(1).select(bucket_of(F.lit(term), buckets)).first()[0]
+def term_bucket(term: str, buckets: int) -> int:
+    """bucket_of() on the driver: the 32-bit Murmur3 hash of seed 42, where bytes after the last whole word of four are
+    taken one by one as signed numbers."""
+    data, mask = term.encode(), 0xFFFFFFFF
+    whole = len(data) - len(data) % 4
+    units = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [b - 256 if b > 127 else b for b in data[whole:]]
+    h = 42
+    for unit in units:
+        k = unit * 0xCC9E2D51 & mask
+        k = ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+        h ^= k
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
 def build_index(docs: DataFrame, text: str = "text", min_chars: int = 1) -> Index:
     """docs: doc_id, text and, where there are, url and title."""
-    posts = postings(tokens(docs, "doc_id", text, min_chars))
+    posts = postings(doc_terms(docs, "doc_id", text, min_chars))
     have = [F.col(c) if c in docs.columns else F.lit("") for c in ("url", "title")]
     return Index(posts, dictionary(posts), forward(docs, *have))

@@ -9,16 +9,35 @@ from textloom.functions import text as X
 from textloom.operators.ordering import number_rows
 
 
+def _terms(raw: DataFrame, min_chars: int, stemmed: bool = True) -> DataFrame:
+    """Raw tokens in column `term` to terms; rows whose term is not valid go."""
+    rest = [c for c in raw.columns if c != "term"]
+    low = raw.select(*rest, X.lowercase(X.truncate(F.col("term"))).alias("term"))
+    terms = X.stemmed(low, "term") if stemmed else low
+    return terms.where(X.is_valid(F.col("term"), min_chars))
+
+
 def tokens(frame: DataFrame, key: str = "doc_id", text: str | Column = "text", min_chars: int = 1, stemmed: bool = True) -> DataFrame:
     """One row per token: key, pos (of the raw token, from 0) and term.
 
     Validity is decided after stemming, so `pos` has gaps where tokens were rejected. Null texts give no rows.
     """
     column = F.col(text) if isinstance(text, str) else text
-    raw = frame.select(F.col(key), F.posexplode(X.raw_tokens(column)).alias("pos", "raw"))
-    low = raw.select(key, F.col("pos").cast("bigint").alias("pos"), X.lowercase(X.truncate(F.col("raw"))).alias("low"))
-    term = X.stem(F.col("low")) if stemmed else F.col("low")
-    return low.select(key, "pos", term.alias("term")).where(X.is_valid(F.col("term"), min_chars))
+    raw = frame.select(F.col(key), F.posexplode(X.raw_tokens(column)).alias("pos", "term"))
+    return _terms(raw.select(key, F.col("pos").cast("bigint").alias("pos"), "term"), min_chars, stemmed)
+
+
+def doc_terms(frame: DataFrame, key: str = "doc_id", text: str | Column = "text", min_chars: int = 1) -> DataFrame:
+    """(key, term) with each raw token of a document once: what postings are made of. Terms may repeat."""
+    column = F.col(text) if isinstance(text, str) else text
+    return _terms(frame.select(F.col(key), F.explode(F.array_distinct(X.raw_tokens(column))).alias("term")), min_chars)
+
+
+def term_counts(frame: DataFrame, text: str | Column = "text", min_chars: int = 1) -> DataFrame:
+    """(term, freq) over all tokens. Raw tokens are counted first, so each distinct one is stemmed once."""
+    column = F.col(text) if isinstance(text, str) else text
+    raw = frame.select(F.explode(X.raw_tokens(column)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    return _terms(raw, min_chars).groupBy("term").agg(F.sum("freq").alias("freq"))
 
 
 def term_frequencies(toks: DataFrame) -> DataFrame:
@@ -40,10 +59,10 @@ def zipf(frequencies: DataFrame) -> DataFrame:
     )
 
 
-def token_stats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 2) -> DataFrame:
+def token_stats(documents: DataFrame, text: str = "text", min_chars: int = 2) -> DataFrame:
     """One row: tokens, mean token length in bytes (null without tokens), bytes processed."""
-    toks = tokens(documents, key, text, min_chars).agg(
-        F.count("*").alias("tokens"), F.avg(F.octet_length("term")).alias("mean_token_bytes")
-    )
+    counts = term_counts(documents, text, min_chars)
+    total = F.coalesce(F.sum("freq"), F.lit(0))
+    toks = counts.agg(total.alias("tokens"), (F.sum(F.octet_length("term") * F.col("freq")) / total).alias("mean_token_bytes"))
     size = documents.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("bytes"))
     return toks.join(F.broadcast(size))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.index import Index
 from textloom.plans import query as Q
+from textloom.session import durable
 
 PER_PAGE = 50
 
@@ -86,28 +87,48 @@ def page_rows(hits: DataFrame, page: int, per_page: int = PER_PAGE) -> DataFrame
 
 
 def search_page(index: Index, text: str, page: int = 1, per_page: int = PER_PAGE) -> Page:
-    """A result page with counts of all hits and pages; rows are in doc_id order."""
-    hits = search(index, text)
+    """A result page with counts of all hits and pages; rows are in doc_id order. The search runs once."""
+    hits = durable(search(index, text))
     ids = page_rows(hits, page, per_page)
     found = hits.count()
     rows = index.forward.join(F.broadcast(ids), "doc_id").orderBy("doc_id")  # per_page rows
     return Page(rows.select("doc_id", "url", "title"), page, found, -(-found // per_page))
 
 
+def _program(tree) -> list[str]:
+    """The tree in postfix order: =word, !, &, |, and 0 for what matches nothing."""
+    return Q.evaluate(tree, lambda t: ["=" + t], lambda a, b: [*a, *b, "&"], lambda a, b: [*a, *b, "|"], lambda a: [*a, "!"], ["0"])
+
+
+#: Runs `program` on the words in `have`: a fold whose state is a stack of truth values.
+_RUN = (
+    "aggregate(program, CAST(array() AS ARRAY<BOOLEAN>), (s, op) -> CASE "
+    "WHEN left(op, 1) = '=' THEN concat(s, array(array_contains(have, substring(op, 2)))) "
+    "WHEN op = '!' THEN concat(slice(s, 1, size(s) - 1), array(NOT s[size(s) - 1])) "
+    "WHEN op = '&' THEN concat(slice(s, 1, size(s) - 2), array(s[size(s) - 2] AND s[size(s) - 1])) "
+    "WHEN op = '|' THEN concat(slice(s, 1, size(s) - 2), array(s[size(s) - 2] OR s[size(s) - 1])) "
+    "ELSE concat(s, array(false)) END)[0]"
+)
+
+
 def search_batch(index: Index, queries: list[tuple[int, str]], analyzed: bool = False) -> DataFrame:
     """(query_id, doc_id) for many queries; blank ones are skipped.
 
-    All words are read in one pass and flags are collected per document once, whatever the number of queries."""
+    All words are read in one pass. Their postings meet the queries that have them and are grouped by query and document,
+    so work grows with these postings, not with queries times documents. Only queries that a wordless document satisfies
+    read the list of all documents, less those with words that do not."""
+    spark = index.forward.sparkSession
     trees = {i: _tree(q, analyzed) for i, q in queries if q.strip()}
-    terms = list(dict.fromkeys(w for t in trees.values() for w in Q.words(t)))
-    if not terms:
+    pairs = [(i, w) for i, t in trees.items() for w in Q.words(t)]
+    if not pairs:
         return index.forward.select(F.lit(0).cast("long").alias("query_id"), "doc_id").limit(0)
-    have = index.lists_of(terms).groupBy("doc_id").agg(F.collect_set("term").alias("have"))
-    if any(Q.matches_empty(t) for t in trees.values()):
-        have = index.forward.select("doc_id").join(have, "doc_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
-    leaf = lambda t: F.array_contains("have", t)
-    hit = [
-        F.when(Q.evaluate(t, leaf, lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a, F.lit(False)), F.lit(i).cast("long"))
-        for i, t in trees.items()
-    ]
-    return have.select(F.explode(F.array_compact(F.array(*hit))).alias("query_id"), "doc_id")
+    asked = F.broadcast(spark.createDataFrame(pairs, "query_id long, term string"))  # the queries, which the driver holds
+    programs = F.broadcast(spark.createDataFrame([(i, _program(t), Q.matches_empty(t)) for i, t in trees.items()], "query_id long, program array<string>, wordless boolean"))
+    met = index.lists_of(list(dict.fromkeys(w for _, w in pairs))).join(asked, "term").groupBy("query_id", "doc_id").agg(F.collect_set("term").alias("have"))
+    judged = met.join(programs, "query_id").select("query_id", "doc_id", "wordless", F.expr(_RUN).alias("hit"))
+    hits = judged.where("hit AND NOT wordless").select("query_id", "doc_id")
+    open_ = [i for i, t in trees.items() if Q.matches_empty(t)]
+    if not open_:
+        return hits
+    every = index.forward.select(F.explode(F.array(*(F.lit(i).cast("long") for i in open_))).alias("query_id"), "doc_id")
+    return hits.unionByName(every.join(judged.where("wordless AND NOT hit").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))

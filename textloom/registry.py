@@ -18,6 +18,7 @@ from textloom.operators import tokens as T
 from textloom.plans import query as Q
 from textloom.plans import search as P
 from textloom.session import shared_dir, spread
+from textloom.sources import readers, sinks
 from textloom.streaming.incremental import add_documents
 
 #: Latin letters to Cyrillic ones, so that the stemmer has work on Latin texts.
@@ -44,6 +45,11 @@ def _docs(spark, sf):
     return spread(_read(spark, sf, "documents").select("doc_id", "text"))
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _toks(spark, sf, min_chars=1):
     return T.tokens(_docs(spark, sf), min_chars=min_chars)
 
@@ -89,7 +95,13 @@ _TRANSLIT = S.tokens_sql(text=f"translate(text, '{TO_CYRILLIC[0]}', '{TO_CYRILLI
 
 @_register("stem_translit_terms", _TRANSLIT + "SELECT term, count(*) AS freq FROM tok GROUP BY term")
 def stem_translit_terms(spark, sf):
-    return T.term_frequencies(T.tokens(_docs(spark, sf), text=F.translate("text", *TO_CYRILLIC)))
+    return T.term_counts(_docs(spark, sf), F.translate("text", *TO_CYRILLIC))
+
+
+@_register("stem_translit_tokens", _TRANSLIT + "SELECT doc_id, count(*) AS n, count(DISTINCT term) AS n_terms, max(pos) AS last_pos FROM tok GROUP BY doc_id")
+def stem_translit_tokens(spark, sf):
+    toks = T.tokens(_docs(spark, sf), text=F.translate("text", *TO_CYRILLIC))
+    return toks.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_terms"), F.max("pos").alias("last_pos"))
 
 
 @_register("lowercase_terms", f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT w) AS n_distinct FROM (SELECT doc_id, {S.lower_sql('t')} AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{R.TOKEN_DUCK}')) AS t FROM documents)) GROUP BY doc_id")
@@ -110,17 +122,17 @@ def token_truncate_255(spark, sf):
 
 @_register("term_frequency", TOK2 + "SELECT term, count(*) AS freq FROM tok GROUP BY term")
 def term_frequency(spark, sf):
-    return T.term_frequencies(_toks(spark, sf, 2))
+    return T.term_counts(_docs(spark, sf), min_chars=2)
 
 
 @_register("top10_terms", TOK2 + "SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term DESC LIMIT 10")
 def top10_terms(spark, sf):
-    return T.top_terms(T.term_frequencies(_toks(spark, sf, 2)))
+    return T.top_terms(T.term_counts(_docs(spark, sf), min_chars=2))
 
 
 @_register("zipf_curve", TOK2 + ", f AS (SELECT term, count(*) AS freq FROM tok GROUP BY term), r AS (SELECT row_number() OVER (ORDER BY freq DESC, term DESC) AS rank, term, freq FROM f) SELECT CAST(rank AS BIGINT) AS rank, term, freq, CAST((SELECT max(freq) FROM f) AS DOUBLE) / rank AS ideal FROM r")
 def zipf_curve(spark, sf):
-    return T.zipf(T.term_frequencies(_toks(spark, sf, 2))).select("rank", "term", "freq", "ideal")
+    return T.zipf(T.term_counts(_docs(spark, sf), min_chars=2)).select("rank", "term", "freq", "ideal")
 
 
 @_register("corpus_token_stats", TOK2 + "SELECT count(*) AS tokens, round(avg(strlen(term)), 9) AS mean_token_bytes, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes FROM tok")
@@ -188,12 +200,14 @@ def forward_offsets(spark, sf):
     return I.forward_offsets(I.forward(I.assign_doc_ids(_titled(spark, sf), "page_id")))
 
 
-_HAS = lambda t: f"EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = d.doc_id AND term = '{t}')"
-
-
 def _bool_sql(tree) -> str:
-    where = Q.evaluate(tree, _HAS, lambda a, b: f"({a} AND {b})", lambda a, b: f"({a} OR {b})", lambda a: f"(NOT {a})", "FALSE")
-    return TOK.replace("tok AS (", "tok AS MATERIALIZED (") + f"SELECT doc_id FROM documents d WHERE {where}"
+    """Flags of the query's words by document, once aggregated, and the predicate over them."""
+    terms = Q.words(tree)
+    flags = ", ".join(f"bool_or(term = '{t}') AS f{i}" for i, t in enumerate(terms))
+    at = {t: f"coalesce(f{i}, FALSE)" for i, t in enumerate(terms)}
+    where = Q.evaluate(tree, at.get, lambda a, b: f"({a} AND {b})", lambda a, b: f"({a} OR {b})", lambda a: f"(NOT {a})", "FALSE")
+    some = ", ".join(f"'{t}'" for t in terms)
+    return TOK + f", flags AS MATERIALIZED (SELECT doc_id, {flags} FROM tok WHERE term IN ({some}) GROUP BY doc_id) SELECT doc_id FROM documents LEFT JOIN flags USING (doc_id) WHERE {where}"
 
 
 #: Each also runs as set algebra, under the name with `_sets`.
@@ -298,10 +312,21 @@ def page_links(spark, sf):
     return _page_links(spark, sf)
 
 
-@_register("links_filtered", f"SELECT DISTINCT link FROM ({_LINKS}) WHERE regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) IN ('tionble.example.org', 'ththan.example.com', 'blog.tionsh.example.com') AND regexp_matches(link, '^https?://[^/]+/[a-z].*')")
+#: Hosts by their first label, which tables of all sizes have, and paths that begin with a letter or a percent sign.
+_PATH = "^https?://[^/]+/(t|T|e)[a-z]*$"
+_HOSTS = "SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) FROM pages WHERE url LIKE 'https://th%' OR url LIKE 'https://on%' OR url LIKE 'http://%'"
+
+
+@_register("links_filtered", f"SELECT DISTINCT link FROM ({_LINKS}) WHERE regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) IN ({_HOSTS}) AND regexp_matches(link, '{_PATH}')")
 def links_filtered(spark, sf):
-    allowed = L.is_allowed(F.col("link"), ["tionble.example.org", "ththan.example.com", "blog.tionsh.example.com"], "^https?://[^/]+/[a-z].*")
-    return _page_links(spark, sf).where(allowed).select("link").distinct()
+    hosts = _read(spark, sf, "pages").where("url LIKE 'https://th%' OR url LIKE 'https://on%' OR url LIKE 'http://%'")
+    hosts = [r[0] for r in hosts.select(L.authority(F.col("url"))).distinct().collect()]  # an allow-list is the driver's
+    return _page_links(spark, sf).where(L.is_allowed(F.col("link"), hosts, _PATH)).select("link").distinct()
+
+
+@_register("article_links", f"SELECT regexp_matches(link, '/(t|T)[a-z]+.+') AS article, count(*) AS n FROM ({_LINKS}) GROUP BY ALL")
+def article_links(spark, sf):
+    return _page_links(spark, sf).groupBy(L.is_article(F.col("link"), "/(t|T)[a-z]+.+").alias("article")).agg(F.count("*").alias("n"))
 
 
 _EVEN = "SELECT DISTINCT link FROM ({0}) WHERE page_id % 2 = {1}"
@@ -375,17 +400,143 @@ def crawl_bfs(spark, sf):
     return frontier.crawl(spark.createDataFrame([("u0",)], "url string"), web, frontier.CrawlConfig(), links)[0]
 
 
-@_register("incremental_index", "WITH documents2 AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, text FROM benchmark), " + S.tokens_sql(table="documents2").removeprefix("WITH ") + "SELECT DISTINCT term, doc_id FROM tok")
-def incremental_index(spark, sf):
-    """Documents first, then benchmark texts with a repeat of the documents, which adds nothing."""
-    path = f"{shared_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+_BOTH = "WITH documents2 AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, text FROM benchmark), " + S.tokens_sql(table="documents2").removeprefix("WITH ")
+
+
+def _grown(spark, sf) -> I.Index:
+    """Documents first, then benchmark texts with a repeat of the documents, which adds nothing; opened like any stored index."""
+    path = _fresh(spark, "incremental")
     docs = _docs(spark, sf)
     more = _read(spark, sf, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
-    add_documents(docs, path)
+    add_documents(docs, path, buckets=16)
     add_documents(docs.unionByName(more), path)
-    return spark.read.parquet(f"{path}/postings").select("term", "doc_id")
+    return I.Index.load(spark, path)
+
+
+@_register("incremental_index", _BOTH + "SELECT DISTINCT term, doc_id FROM tok")
+def incremental_index(spark, sf):
+    return _grown(spark, sf).postings.select("term", "doc_id")
+
+
+@_register("incremental_dictionary", _BOTH + "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM tok GROUP BY term")
+def incremental_dictionary(spark, sf):
+    return _grown(spark, sf).dictionary
+
+
+@_register("incremental_search", _BOTH + ", f AS (SELECT doc_id, bool_or(term = 'the') AS a, bool_or(term = 'la') AS b FROM tok WHERE term IN ('the', 'la') GROUP BY doc_id) SELECT doc_id FROM documents2 LEFT JOIN f USING (doc_id) WHERE NOT coalesce(a, FALSE) OR coalesce(b, FALSE)")
+def incremental_search(spark, sf):
+    return P.search(_grown(spark, sf), "!the || la")
+
+
+def _stored_pages(spark, sf) -> I.Index:
+    path = _fresh(spark, "index")
+    _page_index(spark, sf).save(path, buckets=16)
+    return I.Index.load(spark, path)
+
+
+@_register("stored_search_page", _PAGE_TOK + ", f AS (SELECT doc_id, bool_or(term = 'the') AS a, bool_or(term = 'la') AS b, bool_or(term = 'der') AS c FROM tok WHERE term IN ('the', 'la', 'der') GROUP BY doc_id) SELECT CAST(doc_id AS BIGINT) AS doc_id, url, title FROM ids LEFT JOIN f USING (doc_id) WHERE (coalesce(a, FALSE) AND NOT coalesce(b, FALSE)) OR coalesce(c, FALSE) ORDER BY doc_id LIMIT 50")
+def stored_search_page(spark, sf):
+    """An index saved, loaded again without being told its number of buckets, searched, and shown."""
+    return P.search_page(_stored_pages(spark, sf), "(the && !la) || der").rows
+
+
+@_register("stored_dictionary", _PAGE_TOK + "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM tok GROUP BY term")
+def stored_dictionary(spark, sf):
+    return _stored_pages(spark, sf).dictionary
 
 
+# -- what stages exchange, written and read back
+
+
+@_register("documents_tsv", "SELECT doc_id, regexp_replace(text, '[\t\r\n]', ' ', 'g') AS text FROM documents")
+def documents_tsv(spark, sf):
+    path = _fresh(spark, "documents")
+    sinks.write_documents(_docs(spark, sf), path)
+    return readers.documents_tsv(spark, path)
+
+
+@_register("tokens_tsv", TOK + "SELECT term, doc_id, count(*) AS n FROM tok GROUP BY ALL")
+def tokens_tsv(spark, sf):
+    path = _fresh(spark, "tokens")
+    sinks.write_tokens(_toks(spark, sf), path)
+    return readers.tokens_tsv(spark, path).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+
+
+@_register("frequencies_txt", TOK2 + "SELECT term, count(*) AS freq FROM tok GROUP BY term")
+def frequencies_txt(spark, sf):
+    path = _fresh(spark, "frequencies")
+    sinks.write_frequencies(T.term_counts(_docs(spark, sf), min_chars=2), path)
+    return readers.frequencies_txt(spark, path)
+
+
+@_register("doc_info_tsv", f"WITH {_IDS} SELECT CAST(doc_id AS BIGINT) AS doc_id, url, title FROM ids")
+def doc_info_tsv(spark, sf):
+    path = _fresh(spark, "doc-info")
+    sinks.write_doc_info(I.forward(I.assign_doc_ids(_titled(spark, sf), "page_id")), path)
+    return readers.doc_info_tsv(spark, path)
+
+
+@_register("append_absent", "SELECT page_id AS name, html FROM pages")
+def append_absent(spark, sf):
+    """Two thirds of the pages, then all of them: each is stored once."""
+    path, pages = _fresh(spark, "html"), _read(spark, sf, "pages").select(F.col("page_id").alias("name"), "html")
+    sinks.write_html(pages.where("name % 3 <> 0"), path)
+    sinks.write_html(pages, path)
+    return spark.read.parquet(path)
+
+
+@_register("progress_state", "SELECT section, CAST(n AS INT) AS next_page FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS section, count(*) AS n FROM pages GROUP BY 1) UNION ALL SELECT 'unseen', 1")
+def progress_state(spark, sf):
+    path = _fresh(spark, "progress")
+    state = page_domains(spark, sf).select(F.col("source_name").alias("section"), F.col("n").cast("int").alias("next_page"))
+    sinks.save_progress(state, path)
+    return readers.load_progress(spark, path, [*(r.section for r in state.collect()), "unseen"])  # sections are the crawler's settings
+
+
+@_register("link_state", f"SELECT DISTINCT link FROM ({_LINKS})")
+def link_state(spark, sf):
+    path = _fresh(spark, "links")
+    sinks.save_links(_page_links(spark, sf), path)
+    return readers.load_links(spark, path)
+
+
+@_register("query_lines", "SELECT trim(regexp_extract(text, '^[^\n]*', 0), ' ') AS query, count(*) AS n FROM benchmark WHERE trim(regexp_extract(text, '^[^\n]*', 0), ' ') <> '' GROUP BY 1")
+def query_lines(spark, sf):
+    path = _fresh(spark, "queries")
+    _read(spark, sf, "benchmark").select(F.regexp_extract("text", "^[^\n]*", 0)).write.text(path)
+    return readers.queries_txt(spark, path).groupBy("query").agg(F.count("*").alias("n"))
+
+
+@_register("html_directory", "SELECT page_id, html FROM pages")
+def html_directory(spark, sf):
+    """A folder of .html files, one a page: written as partitions of one value each, read as whole files."""
+    path = _fresh(spark, "pages")
+    sinks.write_html_files(_read(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("name"), "html"), path)
+    return readers.html_files(spark, path).select(F.substring("name", 2, 20).cast("long").alias("page_id"), "html")
+
+
+# -- the real selectors, over pages built of the documents' first words
+
+_WORDS = "list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' +'), lambda x: x <> '')"
+_MADE = f"made AS (SELECT doc_id, w[1] || ' ' || w[2] AS head, w[3] AS one, w[4] || ' ' || w[5] AS two, w[6] AS ocr FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 6)"
+
+
+def _made_pages(spark, sf) -> DataFrame:
+    """A third of the pages has headline and body elements, a third an ocr block, a third neither."""
+    w = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), lambda x: x != "")
+    words = _docs(spark, sf).select("doc_id", w.alias("w")).where("size(w) >= 6")
+    at = lambda i: F.get("w", F.lit(i))
+    head = F.concat(F.lit('<h1 class="t" itemprop="headline"> '), at(0), F.lit(" "), at(1), F.lit(" <i></i></h1>"))
+    body = F.concat(F.lit('<div itemprop="articleBody"><div><p>'), at(2), F.lit("</p></div><p> "), at(3), F.lit(" "), at(4), F.lit("</p></div><p>after</p>"))
+    ocr = F.concat(F.lit('<div class="big ocr"><div>'), at(5), F.lit("</div>"), at(0), F.lit("</div><article>other</article>"))
+    html = F.when(F.col("doc_id") % 3 == 0, F.concat(head, body)).when(F.col("doc_id") % 3 == 1, ocr).otherwise(F.concat(F.lit("<article>"), at(1), F.lit("</article>")))
+    return words.select("doc_id", html.alias("html"))
+
+
+@_register("real_selectors", f"WITH {_MADE} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN head ELSE '{H.NO_TITLE}' END AS title, CASE doc_id % 3 WHEN 0 THEN substr(one || chr(10) || two, 2) ELSE '{H.NO_BODY}' END AS body, CASE doc_id % 3 WHEN 1 THEN ocr || ' ' || string_split(head, ' ')[1] ELSE '' END AS ocr, CASE doc_id % 3 WHEN 1 THEN ocr || ' ' || string_split(head, ' ')[1] WHEN 2 THEN string_split(head, ' ')[2] END AS ocr_or_article FROM made")
+def real_selectors(spark, sf):
+    html = F.col("html")
+    return _made_pages(spark, sf).select("doc_id", H.title(html).alias("title"), H.article_body(html).alias("body"), H.ocr_only(html).alias("ocr"), H.ocr_or_article(html).alias("ocr_or_article"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

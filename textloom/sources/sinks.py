@@ -17,6 +17,17 @@ def append_absent(rows: DataFrame, path: str, key: str) -> None:
     rows.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """doc_id, text as tab-separated lines, with tabs and line ends of texts as spaces."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\r\n]", " ")
+    docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), clean).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_tokens(toks: DataFrame, path: str) -> None:
+    """term, doc_id as tab-separated lines."""
+    toks.select(F.concat_ws("\t", "term", F.col("doc_id").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_doc_info(table: DataFrame, path: str) -> None:
     """doc_id, url, title as tab-separated lines, with tabs and newlines of titles as spaces."""
     clean = F.regexp_replace(F.coalesce("title", F.lit("")), "[\t\n]", " ")
@@ -42,3 +53,21 @@ def save_links(links: DataFrame, path: str) -> None:
 def write_html(pages: DataFrame, path: str, key: str = "name") -> None:
     """(name, html) rows that the table lacks."""
     append_absent(pages.select(key, "html"), path, key)
+
+
+def write_html_files(pages: DataFrame, path: str) -> None:
+    """(name, html) as name.html files of a local or mounted folder that all executors share; rows stay where they are and
+    names must be unique. A file is replaced as a whole, so a task that runs again does no harm."""
+    import os
+
+    def run(batches):
+        os.makedirs(path, exist_ok=True)
+        for batch in batches:
+            for name, html in zip(batch["name"], batch["html"], strict=True):
+                if html is not None:
+                    with open(f"{path}/.{name}.part", "w", encoding="utf-8", newline="") as f:
+                        f.write(html)
+                    os.replace(f"{path}/.{name}.part", f"{path}/{name}.html")
+            yield batch[["name"]]
+
+    pages.select("name", "html").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

@@ -1,12 +1,14 @@
-"""Incremental indexing: new documents of a watched folder become postings, once each."""
+"""Incremental indexing: new documents of a watched folder become part of a stored index, once each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.index import postings
-from textloom.operators.tokens import tokens
+from textloom.operators.index import BUCKETS, Index, bucket_of, dictionary, forward, postings
+from textloom.operators.tokens import doc_terms
+from textloom.session import durable
 
 
 def _stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -18,23 +20,34 @@ def _stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
         return spark.createDataFrame([], columns)
 
 
-def add_documents(docs: DataFrame, path: str, batch: int | None = None, min_chars: int = 1) -> None:
-    """Writes postings and ids of documents that the index at `path` lacks.
+def add_documents(docs: DataFrame, path: str, batch: int | None = None, min_chars: int = 1, buckets: int = BUCKETS) -> None:
+    """Adds documents that the index at `path` lacks: postings by bucket, dictionary, forward table. Index.load opens it.
 
-    Each batch owns a folder that it overwrites, so a batch that is run again after a failure replaces its own output
-    instead of adding to it. Ids go last: a document counts as indexed only when its postings are there.
+    docs: doc_id, text and, where there are, url and title; of rows that share a doc_id one is taken, once for all tables.
+    Each batch owns folders that it overwrites, so a batch that is run again after a failure replaces its own output
+    instead of adding to it. The forward table goes last: a document counts as indexed only when its postings are there.
+    The first batch sets the number of buckets.
     """
     spark = docs.sparkSession
-    folder = f"batch={batch if batch is not None else _next(spark, path)}"
-    known = _stored(spark, f"{path}/ids", "doc_id long, batch int")
-    others = known.where(known["batch"] != int(folder.split("=")[1])).select("doc_id")
-    fresh = docs.dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti")
-    postings(tokens(fresh, min_chars=min_chars)).write.mode("overwrite").parquet(f"{path}/postings/{folder}")
-    fresh.select("doc_id").write.mode("overwrite").parquet(f"{path}/ids/{folder}")
+    number = batch if batch is not None else _next(spark, path)
+    settings = _stored(spark, f"{path}/settings", "buckets int").first()
+    buckets = settings.buckets if settings else buckets
+    if not settings:
+        Index.write_settings(spark, path, buckets)
+    known = _stored(spark, f"{path}/forward", "doc_id long, batch int")
+    others = known.where(known["batch"] != number).select("doc_id")
+    columns = [c for c in ("doc_id", "text", "url", "title") if c in docs.columns]
+    fresh = durable(docs.select(*columns).dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti"))
+    posts = durable(postings(doc_terms(fresh, min_chars=min_chars)))
+    sorted_ = posts.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+    dictionary(posts).write.mode("overwrite").parquet(f"{path}/dictionary/batch={number}")
+    have = [F.col(c) if c in columns else F.lit("") for c in ("url", "title")]
+    forward(fresh, *have).write.mode("overwrite").parquet(f"{path}/forward/batch={number}")
 
 
 def _next(spark: SparkSession, path: str) -> int:
-    last = _stored(spark, f"{path}/ids", "doc_id long, batch int").agg({"batch": "max"}).first()[0]
+    last = _stored(spark, f"{path}/forward", "doc_id long, batch int").agg({"batch": "max"}).first()[0]
     return 0 if last is None else int(last) + 1
 
 
