@@ -87,10 +87,63 @@ def test_case_and_marks_are_no_edits():
     assert [e for *_, e in matcher.find(["x y z " + item.upper().replace(",", "!!") + "!! w"])] == [0]
 
 
-def test_leaks_query(spark):
-    items = table("benchmark")
-    got = {(r.doc_id, r.item_id) for r in registry.QUERIES["op1_benchmark_decontamination"](spark, SF).collect()}
-    assert {(d, i) for d, t in DOCS for i, b in items if b in t} <= got
+def brute_leaks(docs, items):
+    """{(doc, item): edits} by the plain recurrence over whole texts, where enough of an item's words are there at all."""
+    out = {}
+    kept = [(i, decontaminate.Matcher([(i, t)]).lists[0]) for i, t in items]
+    for doc, text in docs:
+        words = hashing.words_by_text([text.lower()], hashing.MARKS)[0].tolist()
+        for i, item in kept:
+            k = decontaminate.allowed(len(item))
+            if len(set(item).intersection(words)) >= len(set(item)) - k and (e := slow_edits(item, words)) <= k:
+                out[doc, i] = e
+    return out
+
+
+def test_leaks_query_against_brute_force(spark, tmp_path):
+    """The query over the documents and as many more with items edited up to the limit: recall, and nothing else."""
+    rng, items = random.Random(9), table("benchmark")
+    vocabulary = " ".join(t for _, t in DOCS[:50]).split()
+    more = []
+    for n in range(150):
+        words = rng.choice(items)[1].split()
+        host = rng.choice(DOCS)[1].split()[:120]
+        at = rng.randrange(len(host) + 1)
+        more.append((10_000 + n, " ".join(host[:at] + edited(words, rng.randint(0, decontaminate.allowed(len(words))), rng, vocabulary) + host[at:])))
+    spark.createDataFrame(DOCS + more, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = registry.QUERIES["op1_benchmark_decontamination"](spark, str(tmp_path)).collect()
+    got, want = {(r.doc_id, r.item_id): r.n_edits for r in rows}, brute_leaks(DOCS + more, items)
+    assert len(got) == len(rows) and set(got) <= set(want) and len(want) >= 150
+    assert len(got) >= 0.95 * len(want) and sum(got[x] == want[x] for x in got) >= 0.99 * len(got)
+    assert {(d, i) for d, t in DOCS for i, b in items if b in t} <= set(got)
+
+
+def test_long_items_and_common_runs_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    long = [word() for _ in range(20_000)]
+    copy = edited(long, 1500, rng, ["x", "y"])
+    text = " ".join([word() for _ in range(500)] + copy + [word() for _ in range(500)])
+    tracemalloc.start()
+    assert [(i, e <= 1500) for _, i, _, e in decontaminate.Matcher([(1, " ".join(long)), (2, " ".join(long[5:17]))]).find([text])] in ([(0, True)], [(0, True), (1, True)], [(1, True), (0, True)])
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    shared = "one run shared"
+    items = [(i, f"{shared} {' '.join(word() for _ in range(12))}") for i in range(20_000)]
+    found = decontaminate.Matcher(items).find([" ".join([shared, *(word() for _ in range(8))] * 60 + [items[77][1]])])
+    assert 77 in {i for _, i, _, e in found if e == 0}
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_short_items_are_found_wherever_they_stand():
+    rng = random.Random(6)
+    items = [(n, " ".join(f"v{rng.randrange(90)}" for _ in range(n))) for n in range(1, 16)]
+    texts = [" ".join(f"u{rng.randrange(90)}" for _ in range(at)) + " " + t for at in range(9) for _, t in items]
+    found = {(r, i) for r, i, _, e in decontaminate.Matcher(items).find(texts) if e == 0}
+    assert {(n, n % 15) for n in range(len(texts))} <= found
 
 
 # -- token files

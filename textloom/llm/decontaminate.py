@@ -6,17 +6,23 @@ whole item. A null, empty or wordless text leaks nothing; a null, empty or wordl
 items are reported each; repeated rows are each reported once per item. Extra columns are not read. Empty tables give
 no rows.
 
-A run within k edits of an item of L words shares with it a run of floor((L - k) / (k + 1)) words unchanged. So only
-windows laid through such a shared run, on the item's own diagonal, can lead to a leak, and only those are embedded.
-The CGK walk turns a window into 3L symbols: pointers of two near sequences part at an edit and meet again, so that
-edits become few differing places. Keys of a few sampled places, drawn for many walks and tables, meet the items' keys;
-each meeting is checked by exact edit distance in the words around the window.
-
-No document is shuffled. The benchmark is read in blocks of bounded size, each a pass over the documents.
+Items are held in groups by length, from a power of two to the next. Windows of a group start at every STRIDE-th part of
+its least length, at every word for short items, all over every text. The CGK walk turns a window into symbols: step j
+emits the word under the pointer, whose hash with j says whether the pointer moves on; pointers of two near sequences part
+at an edit and meet again, so that edits become few differing places. Keys of a few sampled places, drawn for many walks
+and tables, meet the items' keys; where the two walks agree on at least AGREE of the places, the words around the window
+are checked by exact edit distance. Windows are no longer than LONGEST words: a longer item is searched by its pieces of
+that length, one of which has no more than its share of the edits, and checked as a whole.
+
+Candidates come from no other place. An exact copy is always found where windows start at every word, else with the
+recall of its nearest window; README has measured recall. No document is shuffled; the benchmark is read in blocks of
+bounded size, each a pass over the documents.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,22 @@ from textloom.session import written
 
 TOLERANCE = 0.2
 #: Walks, tables per walk, places per table.
-WALKS, TABLES, PLACES = 12, 32, 4
-#: Sampled places lie in this many lengths of the walk; later ones mostly show its end.
-REACH = 1.7
+WALKS, TABLES, PLACES = 8, 8, 3
+#: Steps of the walk in least lengths of the group: early places lie after few edits.
+REACH = 1.0
+#: Share of the places of a walk that must agree before edits are counted.
+AGREE = 0.25
+#: Windows start at every so-manieth part of the group's least length.
+STRIDE = 8
+LONGEST = 64
+#: Words that a window may stand off an item's place beside what its edits allow.
+SLACK = 16
 #: Characters of benchmark text held at a time.
 BLOCK_CHARS = 32 << 20
+#: Windows, and meetings of windows with items, that are looked at together.
+PART, MEETINGS = 1 << 14, 1 << 16
+#: The matcher of a worker process, kept from task to task.
+_MATCHERS: dict = {}
 FOUND = "doc_id long, item_id long, start_word long, n_edits long, n_item_words long"
 
 
@@ -41,50 +58,84 @@ def allowed(length: int) -> int:
     return int(TOLERANCE * length + 1e-9)
 
 
-def run_width(length: int) -> int:
-    """Words that an allowed copy surely leaves unchanged in a row, 3 at most."""
-    k = allowed(length)
-    return max(1, min(3, (length - k) // (k + 1)))
-
-
-def _runs(words: np.ndarray, width: int) -> np.ndarray:
-    n = max(len(words) - width + 1, 0)
-    out = words[:n] * H.A
-    for j in range(1, width):
-        out = H.mix(out, j) + words[j : j + n] * H.B
-    return H.mix(out, width)
-
-
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK walk of each row (0 ends a shorter row): step j emits the symbol under the pointer, whose hash with j says
-    whether the pointer moves on. Gives (3 * columns, rows)."""
-    n, width = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1).ravel()
-    row, at = np.arange(n) * (width + 1), np.zeros(n, np.int64)
-    out = np.empty((3 * width, n), np.uint64)
-    steps = H.mix(np.arange(3 * width, dtype=np.uint64), 1000 + walk) | np.uint64(1)
-    for j in range(3 * width):
-        symbol = padded[row + at]
-        out[j] = symbol
-        at += ((symbol * steps[j]) >> np.uint64(63)).astype(np.int64)
-        np.minimum(at, width, out=at)
+class _Group:
+    """Items of similar length: their walks and keys."""
+
+    def __init__(self, low: int, items: list[tuple[int, int, np.ndarray]], limits: list[int]):
+        """items: (item, offset of the piece in it, words); limits: edits allowed to each one's item."""
+        self.low, self.stride = low, max(1, low // STRIDE)
+        self.steps = max(1, int(REACH * low))
+        self.item = np.array([i for i, _, _ in items], np.int64)
+        self.offset = np.array([o for _, o, _ in items], np.int64)
+        # Bits of a piece's words, and how many of them may be missing: the piece's share is not known, so the item's edits.
+        self.marks = np.stack([np.bitwise_or.reduce(_bits(w), axis=0) for _, _, w in items])
+        self.most = np.array(limits, np.int64)
+        self.slack = int(self.most.max(initial=0)) + SLACK if low < LONGEST else low
+        # Pieces one after the other; a walk that runs over its end meets zeros.
+        gap = np.zeros(self.steps, np.uint32)
+        flat = np.concatenate([part for _, _, w in items for part in (_short(w), gap)])
+        starts = np.cumsum([0] + [len(w) + self.steps for _, _, w in items])[:-1]
+        self.walks = np.stack([self.walk(flat, starts, walk) for walk in range(WALKS)])
+        self.bits = int(np.clip(np.log2(len(items)) + 7, 12, 24))
+        self.sampled = [self.samples(table) for table in range(WALKS * TABLES)]
+        self.tables = []
+        for table in range(WALKS * TABLES):
+            found = self.key(self.walks[table // TABLES], table)
+            order = np.argsort(found, kind="stable")
+            first = np.zeros(1 << self.bits, bool)
+            first[found >> np.uint64(64 - self.bits)] = True
+            self.tables.append((found[order], order, first))
+
+    def meetings(self, table: int, symbols: np.ndarray) -> Iterator[np.ndarray]:
+        """window * pieces + piece, for windows that have a piece's key and a walk that agrees with the piece's."""
+        stored, order, first = self.tables[table]
+        keys = self.key(symbols, table)
+        some = np.flatnonzero(first[keys >> np.uint64(64 - self.bits)])
+        left = np.searchsorted(stored, keys[some])
+        n = np.searchsorted(stored, keys[some], "right") - left
+        ends = np.cumsum(n)
+        for low in range(0, int(ends[-1]) if len(ends) else 0, MEETINGS):
+            pair = np.arange(low, min(low + MEETINGS, int(ends[-1])))
+            of = np.searchsorted(ends, pair, "right")
+            window, piece = some[of], order[left[of] + pair - (ends[of] - n[of])]
+            near = (symbols[:, window] == self.walks[table // TABLES][:, piece]).mean(axis=0) >= AGREE
+            yield window[near] * len(self.item) + piece[near]
+
+    def walk(self, words: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
+        """(steps, windows): CGK symbols of the windows from `starts` on; words reach on by as many as there are steps."""
+        moves = (H.mix(np.arange(self.steps, dtype=np.uint64), 1000 + walk) >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
+        out, at, turn = np.empty((self.steps, len(starts)), np.uint32), starts.astype(np.int64), np.empty(len(starts), np.uint32)
+        for symbol, move in zip(out, moves, strict=True):
+            words.take(at, out=symbol, mode="clip")
+            np.multiply(symbol, move, out=turn)
+            np.right_shift(turn, 31, out=turn)
+            np.add(at, turn, out=at, casting="unsafe")
+        return out
+
+    def samples(self, table: int) -> list[tuple[int, np.uint64]]:
+        """Sampled places of a table, with a factor each."""
+        number = np.arange(PLACES, dtype=np.uint64) + np.uint64(table * PLACES)
+        places = np.unique((H.mix(number, 5000).astype(np.float64) / 2.0**64 * self.steps).astype(np.int64)).tolist()
+        return list(zip(places, H.mix(number, 9) | np.uint64(1), strict=False))
+
+    def key(self, symbols: np.ndarray, table: int) -> np.ndarray:
+        """Hash of the sampled places of each walk."""
+        key = np.zeros(symbols.shape[1], np.uint64)
+        for place, factor in self.sampled[table]:
+            key += symbols[place] * factor
+        return key
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    """(words, 4): one bit of 256 for each word."""
+    out = np.zeros((len(words), 4), np.uint64)
+    out[np.arange(len(words)), (words & np.uint64(3)).astype(np.int64)] = np.uint64(1) << ((words >> np.uint64(2)) & np.uint64(63))
     return out
 
 
-def keys(windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(walks * tables, rows): hash of sampled places of the embedding, among those before a row's end is reached."""
-    out = np.empty((WALKS * TABLES, len(windows)), np.uint64)
-    column = np.arange(len(windows))
-    for walk in range(WALKS):
-        symbols = embed(windows, walk)
-        draw = H.mix(np.arange(TABLES * PLACES, dtype=np.uint64), 5000 + walk).astype(np.float64) / 2.0**64
-        for table in range(TABLES):
-            key = H.mix(lengths.astype(np.uint64), walk * TABLES + table)
-            for place in range(PLACES):
-                at = (draw[table * PLACES + place] * REACH * lengths).astype(np.int64)
-                key = H.mix(key + symbols[at, column])
-            out[walk * TABLES + table] = key
-    return out
+def _short(words: np.ndarray) -> np.ndarray:
+    """Words as 32-bit symbols."""
+    return (words >> np.uint64(32)).astype(np.uint32)
 
 
 def least_edits(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -109,39 +160,21 @@ def least_edits(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Matcher:
-    """A block of items, with the words runs that lead to windows and the keys that windows meet."""
+    """A block of items, by groups of length."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         words, at = H.words_by_text([t and t.lower() for _, t in items], H.MARKS)
         kept = [(i, words[at[n] : at[n + 1]]) for n, (i, _) in enumerate(items) if at[n + 1] > at[n]]
         self.ids = [i for i, _ in kept]
-        self.words = [w for _, w in kept]
-        self.lists = [w.tolist() for w in self.words]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.width = int(self.lengths.max(initial=1))
-        # For each width of runs: sorted hashes, with item and offset of each.
-        self.runs = {}
-        for width in {run_width(n) for n in self.lengths.tolist()}:
-            of = [n for n, length in enumerate(self.lengths.tolist()) if run_width(length) == width]
-            found = [_runs(self.words[n], width) for n in of]
-            h = np.concatenate(found)
-            item = np.repeat(np.array(of), [len(f) for f in found])
-            offset = np.concatenate([np.arange(len(f)) for f in found])
-            order = np.argsort(h, kind="stable")
-            self.runs[width] = h[order], item[order], offset[order]
-        if kept:
-            table = keys(self._windows(np.concatenate(self.words), np.concatenate([[0], np.cumsum(self.lengths)[:-1]]), self.lengths, None), self.lengths)
-            order = np.argsort(table.ravel(), kind="stable")
-            self.keys, self.key_item = table.ravel()[order], (order % len(kept))
-
-    def _windows(self, words: np.ndarray, start: np.ndarray, lengths: np.ndarray, end: np.ndarray | None) -> np.ndarray:
-        """Rows of words from `start` on, 0 beyond the length or outside of the text."""
-        step = np.arange(self.width)
-        at = start[:, None] + step
-        inside = step < lengths[:, None]
-        if end is not None:
-            inside &= (at >= end[0][:, None]) & (at < end[1][:, None])
-        return np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
+        self.lists = [w.tolist() for _, w in kept]
+        self.sets = [frozenset(w) for w in self.lists]
+        self.lengths = np.array([len(w) for _, w in kept], np.int64)
+        groups = defaultdict(list)
+        for n, (_, w) in enumerate(kept):
+            size = min(len(w), LONGEST)
+            for offset in [*range(0, len(w) - size, LONGEST), len(w) - size] if len(w) > size else [0]:
+                groups[1 << size.bit_length() - 1].append((n, offset, w[offset : offset + size]))
+        self.groups = [_Group(low, pieces, [allowed(len(self.lists[n])) for n, _, _ in pieces]) for low, pieces in sorted(groups.items())]
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item number, first word, edits) of the best place of each item in each text."""
@@ -152,36 +185,62 @@ class Matcher:
                 self._find(words, at, first, out)
         return [(row, item, start, edits) for (row, item), (edits, start) in out.items()]
 
-    def _find(self, words, at, base, out) -> None:
-        rows, starts, sizes = [], [], []
-        doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        for width, (h, item, offset) in self.runs.items():
-            runs = _runs(words, width)
-            left = np.searchsorted(h, runs)
-            hit = np.flatnonzero((left < len(h)) & (h[np.minimum(left, len(h) - 1)] == runs))
-            hit = hit[doc_of[hit] == doc_of[hit + width - 1]]  # within one text
-            n = np.searchsorted(h, runs[hit], "right") - left[hit]
-            each = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(hit, n)
-            rows.append(doc_of[place])
-            starts.append(place - offset[each])
-            sizes.append(self.lengths[item[each]])
-        seen = np.unique(np.stack([np.concatenate(x) for x in (rows, starts, sizes)]), axis=1)
-        for part in range(0, seen.shape[1], 4096):
-            row, start, size = seen[:, part : part + 4096]
-            table = keys(self._windows(words, start, size, (at[row], at[row + 1])), size)
-            flat = table.ravel()
-            left, right = np.searchsorted(self.keys, flat), np.searchsorted(self.keys, flat, "right")
-            some = np.flatnonzero(right > left)
-            met = {(w, int(i)) for f in some.tolist() for w in (f % len(row),) for i in self.key_item[left[f] : right[f]]}
-            for w, i in sorted(met):
-                length = int(self.lengths[i])
-                k, r = allowed(length), int(row[w])
-                low, high = max(int(start[w]) - k, int(at[r])), min(int(start[w]) + length + k, int(at[r + 1]))
-                edits, end = least_edits(self.lists[i], words[low:high].tolist())
-                if edits <= k:
-                    new = (edits, max(low + end - length, int(at[r])) - int(at[r]))
-                    out[r + base, i] = min(out.get((r + base, i), new), new)
+    def _find(self, words: np.ndarray, at: np.ndarray, base: int, out: dict) -> None:
+        marks = _bits(words)
+        for group in self.groups:
+            flat = np.concatenate([_short(words), np.zeros(group.steps, np.uint32)])
+            every = np.arange(0, len(words), group.stride)
+            for part in range(0, len(every), PART):
+                starts = every[part : part + PART]
+                met = np.zeros(0, np.int64)
+                for walk in range(WALKS):
+                    symbols = group.walk(flat, starts, walk)
+                    found = [f for table in range(walk * TABLES, (walk + 1) * TABLES) for f in group.meetings(table, symbols)]
+                    if found:
+                        met = np.unique(np.concatenate([met, *found]))
+                if len(met):
+                    self._verify(self._likely(group, met, starts, marks, at), words, at, base, out)
+
+    def _likely(self, group: _Group, met: np.ndarray, starts: np.ndarray, marks: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, where the item begins by the window) of the meetings that words allow: an item's word that is not
+        around the window is an edit, and a bit that no word there has is such a word's."""
+        around = np.arange(-group.slack, 2 * group.low + group.slack)
+        out: set[tuple[int, int, int]] = set()
+        windows = np.unique(met // len(group.item))
+        for first in range(0, len(windows), 1 << 10):
+            some = windows[first : first + (1 << 10)]
+            near = np.bitwise_or.reduce(marks[np.clip(starts[some][:, None] + around, 0, len(marks) - 1)], axis=1)
+            low, high = np.searchsorted(met, [some[0] * len(group.item), (some[-1] + 1) * len(group.item)])
+            for part in range(low, high, MEETINGS):
+                codes = met[part : min(part + MEETINGS, high)]
+                window, piece = np.divmod(codes, len(group.item))
+                lacking = np.bitwise_count(group.marks[piece] & ~near[np.searchsorted(some, window)]).sum(axis=1, dtype=np.int64)
+                keep = lacking <= group.most[piece]
+                window, piece = window[keep], piece[keep]
+                row = np.searchsorted(at, starts[window], "right") - 1
+                out.update(zip(row.tolist(), group.item[piece].tolist(), (starts[window] - group.offset[piece]).tolist(), strict=True))
+        return sorted(out)
+
+    def _verify(self, todo: list[tuple[int, int, int]], words: np.ndarray, at: np.ndarray, base: int, out: dict) -> None:
+        """Counts edits; places of one item that lie close together in a text are checked as one stretch of words."""
+        n = 0
+        while n < len(todo):
+            r, i, low = todo[n]
+            length = int(self.lengths[i])
+            high, n = low, n + 1
+            while n < len(todo) and todo[n][:2] == (r, i) and todo[n][2] <= high + length:
+                high, n = todo[n][2], n + 1
+            k = allowed(length)
+            first, last = max(low - k - SLACK, int(at[r])), min(high + length + k + SLACK, int(at[r + 1]))
+            if last - first < length - k:
+                continue
+            stretch = words[first:last].tolist()
+            if len(self.sets[i].intersection(stretch)) < len(self.sets[i]) - k:
+                continue  # each word that is not there is an edit
+            edits, end = least_edits(self.lists[i], stretch)
+            if edits <= k:
+                new = (edits, max(first + end - length, int(at[r])) - int(at[r]))
+                out[r + base, i] = min(out.get((r + base, i), new), new)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -193,13 +252,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
 
+def _matcher(key: str, items: list[tuple[int, str]]) -> Matcher:
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items)
+    return _MATCHERS[key]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_edits, n_item_words), one row per document row and leaked item."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def one(items):
+        key = uuid.uuid4().hex
+
         def run(batches):
-            matcher = Matcher(items)
+            matcher = _matcher(key, items)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 found = matcher.find(batch.column(1).to_pylist())
@@ -219,14 +287,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item, all columns; rows stay where they are."""
-    for items in _blocks(benchmark):
 
-        def run(batches, items=items):
-            matcher = Matcher(items)
+    def one(docs, items):
+        key = uuid.uuid4().hex
+
+        def run(batches):
+            matcher = _matcher(key, items)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 bad = {r for r, *_ in matcher.find(texts)}
                 yield batch.filter(pa.array([r not in bad for r in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    blocks = _blocks(benchmark)
+    out, more = one(docs, next(blocks)), next(blocks, None)
+    while more is not None:  # as in leaks(): the driver holds one block
+        out, more = one(written(out, "clean"), more), next(blocks, None)
+    return out
