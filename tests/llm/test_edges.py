@@ -78,7 +78,7 @@ def test_stages_keep_columns(docs, empty, number):
 def test_defined_values(docs, items, labels):
     near = [tuple(r) for r in near_dup.near_duplicates(docs).collect()]
     assert (1, 0, 1, True) in near and near.count((4, 1, 4, True)) == 2 and (5, 1, 5, True) in near and (None, 1, None, True) in near
-    lang = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, {"en": ["one two"], "fr": ["né à"]}).collect()}
+    lang = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.count_texts({"en": ["one two"], "fr": ["né à"]})).collect()}
     assert lang[1] == lang[2] == lang[3] == ("und", 0.0) and lang[6][0] == "fr" and lang[4][0] == "en"
     lic = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert (lic[1].n_words, lic[1].n_base, lic[1].first_word, lic[1].labels, lic[1].score) == (0, 0, None, "", 0.0)

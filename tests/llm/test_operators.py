@@ -485,11 +485,46 @@ def test_held_out_language(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
 
 
-def test_code_lengths_are_those_of_the_statistics():
-    model = language.Model({"x": ["ab ab"]})
-    # After a blank a was seen twice, so it costs 2 / 3; an unseen byte escapes down to one of 256.
-    assert model.cost(b" ", ord("a"))[0] == pytest.approx(-np.log2(2 / 3))
-    assert model.cost(b"", 0)[0] == pytest.approx(-np.log2(3 / 9) + 8)
+def slow_bits(trees, text):
+    """Code lengths of a whole text by trees of dictionaries, one byte at a time."""
+    data, out = b"\n" * language.ORDER + text.lower().encode(), []
+    for tree in trees:
+        bits = 0.0
+        for i in range(language.ORDER, len(data)):
+            for k in range(language.ORDER, -1, -1):
+                seen = tree.get(data[i - k : i])
+                if not seen:
+                    continue
+                total = sum(seen.values()) + len(seen)
+                if data[i] in seen:
+                    bits -= np.log2(seen[data[i]] / total)
+                    break
+                bits -= np.log2(len(seen) / total)
+            else:
+                bits += 8
+        out.append(bits)
+    return out
+
+
+def test_whole_texts_are_coded_as_by_plain_trees(monkeypatch):
+    texts = {"de": ["Das ist ein Satz, 12 Wörter.", "Übung macht den Meister"], "en": ["This is a line of words.", "12 words - no more!"], "fr": ["C'est l'été\nà Paris"]}
+    trees = []
+    for lang in sorted(texts):
+        tree = defaultdict(Counter)
+        for t in texts[lang]:
+            data = b"\n" * language.ORDER + t.lower().encode()
+            for i in range(language.ORDER, len(data)):
+                for k in range(language.ORDER + 1):
+                    tree[data[i - k : i]][data[i]] += 1
+        trees.append(tree)
+    model = language.Model(language.count_texts(texts))
+    samples = ["This is ein Satz - à 12 99 日本!", "x", "words. " * 50, *(t for v in texts.values() for t in v)]
+    for text in samples:
+        assert model.bits(language.grams(language._bytes(text))).sum(axis=0) == pytest.approx(slow_bits(trees, text))
+    want = [sorted(texts)[int(np.argmin(slow_bits(trees, t)))] for t in samples]
+    assert [p for p, _ in model.predict(samples)] == want
+    monkeypatch.setattr(language, "PIECE", 16)
+    assert [p for p, _ in model.predict(samples)] == want and language.Model({}).predict(["a", None]) == [("und", 0.0)] * 2
 
 
 # -- pages
