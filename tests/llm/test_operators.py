@@ -319,6 +319,30 @@ def test_wrapped_notices(spark):
     assert licenses.license_scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first().labels == ""
 
 
+def test_templates_are_an_argument(spark):
+    docs = spark.createDataFrame([(1, "it's free,\nas in\nbeer - so take it"), (2, "Released under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs, [("beerware", "free as in beer so take it")]).collect()}
+    assert got == {1: "beerware", 2: ""}
+
+
+def test_wrapped_notices_equal_sql(spark):
+    """The registered SQL, over notices broken at every word and among other words."""
+    rng = random.Random(2)
+    rows = []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES * 3):
+        words = notice.split()
+        if i % 3:
+            words.insert(rng.randrange(len(words)), "other")
+        rows.append((i, "First words here.\n" + " ".join(w + rng.choice(["", "", "\n", ","]) for w in words) + " and the end"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    db = duckdb.connect()
+    documents = frame.toPandas()
+    db.register("documents", documents)
+    want = db.sql(licenses.oracle())
+    got = licenses.license_scan(frame).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum(r.labels != "" for r in got) >= 30
+
+
 # -- mixing
 
 
@@ -447,6 +471,14 @@ def test_near_duplicates_equal_all_pairs(spark, width, percent):
     assert got == {d: (len(sets[d]), c, c == d) for d, c in want.items()}
 
 
+def test_filter_tells_rows_apart(spark):
+    """Unlike texts under one doc_id, or under none, stay; copies go, whichever id they have."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(1, text(1), "a"), (1, text(2), "b"), (5, text(1), "c"), (None, text(2) + " end", "d"), (None, text(3), "e"), (None, text(3), "f"), (7, None, "g"), (7, "", "h"), (8, text(4), "i"), (8, text(4), "i")]
+    got = near_dup.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert sorted((r.doc_id or 0, r.x) for r in got) in [sorted([(1, "a"), (1, "b"), (0, e), (7, "g"), (7, "h"), (8, "i")]) for e in "ef"]
+
+
 def test_chunks_of_a_cluster_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", 400)
     test_near_duplicates_equal_all_pairs(spark, 3, 85)

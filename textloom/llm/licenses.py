@@ -10,8 +10,8 @@ doc_id and text are not read. An empty table gives no rows.
 Texts are read once and not shuffled: per row only counts, phrase places and the blocks' words that occur in templates
 go on. The join orders words by global frequency, rare first. A block can match only if it has one of a template's
 first size - least + 1 words (prefix filter), enough template words at all (length filter) and enough words left from
-the place of the shared word on in both orders (positional filter); what passes is verified. Templates are a constant
-of the code, so their index is broadcast whatever the corpus.
+the place of the shared word on in both orders (positional filter); what passes is verified. Templates are an argument
+that the driver holds, with a collection of usual notices as default, so their index is broadcast whatever the corpus.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, t in TEMPLATES for w in t.split()})
+def vocabulary(templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
 
 
 def _places(phrase: str) -> Column:
@@ -84,33 +84,32 @@ def _window(template: str) -> Column:
     return F.when(F.size(F.array_intersect("__k", own)) >= enough, best["x"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, places per phrase, blocks): blocks are the template words of each block that has enough."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    fewest = min(least(len(set(t.split()))) for _, t in TEMPLATES)
+    fewest = min(least(len(set(t.split()))) for _, t in templates)
     words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     a = docs.select("doc_id", text.alias("__t")).select("doc_id", "__t", words(F.col("__t")).alias("__w"))
     lines = F.split(F.regexp_replace("__t", SENTENCE_END, "$1\n"), "\n")
-    known = _strings(vocabulary())
+    known = _strings(vocabulary(templates))
     blocks = F.filter(F.transform(lines, lambda x: F.array_intersect(words(x), known)), lambda x: F.size(x) >= fewest)
     # A text without enough template words as a whole has no such block, so its lines are not split; nor are windows of a
     # template looked for where the whole text has not enough of its words.
     a = a.withColumn("__k", F.array_intersect("__w", known))
     some = F.size("__k") >= fewest
-    blocks = F.concat(blocks, F.array_compact(F.array(*(_window(t) for _, t in TEMPLATES))))
+    blocks = F.concat(blocks, F.array_compact(F.array(*(_window(t) for _, t in templates))))
     places = [_places(p).alias(f"__p{i}") for i, p in enumerate(PHRASES)]
     return a.select("doc_id", F.size("__w").cast("bigint").alias("n_words"), *places, F.when(some, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, w, len(set(t.split()))) for i, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split()))]
-    items = ", ".join(f"({i}, '{label}', '{w}', {n}, {least(n)})" for i, label, w, n in rows)
-    return spark.sql(f"SELECT * FROM VALUES {items} AS t(template, label, word, size, least)")
+def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    rows = [(i, label, w, len(set(t.split()))) for i, (label, t) in enumerate(templates) for w in sorted(set(t.split()))]
+    return spark.createDataFrame([(i, label, w, n, least(n)) for i, label, w, n in rows], "template int, label string, word string, size int, least int")
 
 
-def containment_join(blocks: DataFrame) -> DataFrame:
+def containment_join(blocks: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(rid, label, containment) of every (row, template) with a matching block; blocks: (rid, words)."""
-    templates = _templates(blocks.sparkSession)
+    templates = _templates(blocks.sparkSession, notices)
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     counted = templates.join(F.broadcast(counts), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))  # template words only
     order = counted.select("df", "word").distinct().agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
@@ -128,10 +127,12 @@ def containment_join(blocks: DataFrame) -> DataFrame:
     return shared.where("n_shared >= least").select("rid", "label", (F.col("n_shared").cast("double") / F.col("size")).alias("containment"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    rows = written(scan(docs).withColumn("rid", F.monotonically_increasing_id()), "licenses")
-    found = containment_join(rows.select("rid", F.explode("blocks").alias("words")))
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    templates: (label, notice as lower-case words with a space between), one at least."""
+    rows = written(scan(docs, templates).withColumn("rid", F.monotonically_increasing_id()), "licenses")
+    found = containment_join(rows.select("rid", F.explode("blocks").alias("words")), templates)
     found = found.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     places = F.concat(*(f"__p{i}" for i in range(len(PHRASES))))
     base = F.array_compact(F.array(*(F.when(F.size(f"__p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
@@ -148,7 +149,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of license_scan() over documents, by comparing every block with every template."""
+    """DuckDB SQL of license_scan() over documents, by comparing every line, sentence and window with every template."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = WORD
     spots = []
@@ -158,13 +159,17 @@ def oracle() -> str:
         spots.append(f"list_filter(range(0, len(w)), lambda i: {same})")
     names = [f"p{i}" for i in range(len(PHRASES))]
     base = "list_filter([" + ", ".join(f"CASE WHEN len({n}) > 0 THEN '{label}' END" for n, label in zip(names, PHRASES.values(), strict=True)) + "], lambda x: x IS NOT NULL)"
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {least(len(set(t.split())))})" for label, t in TEMPLATES)
+    size = lambda t: len(t.split()) + len(set(t.split())) - least(len(set(t.split())))
+    values = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r}, {least(len(set(t.split())))}, {size(t)})" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
         WITH a AS (SELECT doc_id, {low} AS t FROM documents),
         b AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, string_split(regexp_replace(t, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)) AS l FROM a),
         c AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{s} AS {n}" for s, n in zip(spots, names, strict=True))} FROM b),
-        e AS (SELECT doc_id, regexp_extract_all(unnest(l), '{word}') AS s FROM b),
-        t(label, ws, least) AS (VALUES {values}),
+        t(number, label, ws, least, size) AS (VALUES {values}),
+        near AS MATERIALIZED (SELECT doc_id, number, w, ws, least, size FROM b, t WHERE len(list_intersect(w, ws)) >= least),
+        windows AS (SELECT doc_id, number, least, list_intersect(w[i:i + size - 1], ws) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near)),
+        best AS (SELECT doc_id, arg_max(s, len(s)) AS s FROM windows WHERE len(s) >= least GROUP BY doc_id, number),
+        e AS (SELECT doc_id, regexp_extract_all(unnest(l), '{word}') AS s FROM b UNION ALL SELECT doc_id, s FROM best),
         f AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS k, len(ws) AS n, least FROM e, t),
         g AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(k AS DOUBLE) / n) AS best FROM f WHERE k >= least GROUP BY doc_id),
         h AS (SELECT *, list_concat({", ".join(names)}) AS p, {base} AS base FROM c LEFT JOIN g USING (doc_id))

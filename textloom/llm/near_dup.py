@@ -209,8 +209,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def filter_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs of which one stays from each group, all columns; repeats of a kept row go as well."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return again.unionByName(rest.where("doc_id is null"))
+    """The rows of docs of which one stays from each group, all columns: the one with the smallest doc_id, null ones last.
+
+    Each different pair of doc_id and text is a node of its own, so unlike texts under one doc_id, or under none, are told
+    apart; of rows that repeat both, one stays."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__key"), "component_id")
+    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("__id"))
+    first = F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key"))
+    heads = found.distinct().join(ids, "__key").groupBy("component_id").agg(first.alias("__key")).select("__key")
+    return keyed.join(heads, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
