@@ -265,6 +265,15 @@ def test_context_of_hits():
     assert plain[4] == 0 and plain[6] == 1 and quoted[4] == 1 and quoted[5] == 1 and quoted[6] == 0
 
 
+def test_few_labels_give_a_share_and_rare_terms_are_learned(spark):
+    docs = [(i, f"common words of all days number{i % 7} and {'grubwit' if i % 4 == 0 else 'people'} there{i}") for i in range(400)]
+    frame, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows = toxicity.score(frame, labels).collect()
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in rows)
+    few = toxicity.score(frame, labels.where("doc_id < 12")).collect()
+    assert len({r.score for r in few}) == 1 and 0 < few[0].score < 0.5
+
+
 def test_held_out_toxicity(spark):
     sf = SF.replace("0.001", "0.01")
     rows = registry.QUERIES["op3_toxicity"](spark, sf).collect()
@@ -506,6 +515,11 @@ def test_counts_equal_greedy_matching():
         assert automaton.count(word) == n
 
 
+def test_special_entries_are_text():
+    automaton = token_counts.load(VOCABULARY)
+    assert automaton.count(b" <|endoftext|>") > 1 and automaton.count(b" the") == 1
+
+
 # -- language
 
 

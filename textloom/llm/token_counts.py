@@ -4,6 +4,7 @@ Words are runs of characters other than ASCII white space. A word is the vocabul
 UTF-8 bytes in the byte alphabet of the vocabulary; its pieces are the longest vocabulary entries from left to right.
 The automaton is the vocabulary's trie in which each node knows the node to go on from when no child fits (failure
 link) and how many pieces are complete by then, so a word's length is a sum over one pass and no piece is built.
+Special entries of a vocabulary file, which stand beside its pieces, are no pieces: their characters are counted as text.
 A null, empty or blank text has no words and no pieces. Each row is counted by itself; extra columns are not read; an
 empty table gives no rows. Words are remembered per worker up to a fixed number.
 """
@@ -78,9 +79,10 @@ class Automaton:
 def load(path: str) -> Automaton:
     """The automaton of a byte-level vocabulary file."""
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        stored = json.load(f)
+    special = {t["content"] for t in stored.get("added_tokens", ())}
     back = {c: b for b, c in enumerate(byte_alphabet())}
-    return Automaton({bytes(back[c] for c in entry) for entry in vocabulary if entry and all(c in back for c in entry)})
+    return Automaton({bytes(back[c] for c in entry) for entry in stored["model"]["vocab"] if entry and entry not in special and all(c in back for c in entry)})
 
 
 class _Lengths(dict):

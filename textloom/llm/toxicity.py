@@ -6,8 +6,9 @@ that is not in it is run through the automaton of edit distance 1 (2 from LONG l
 which finds misspelled terms. Each hit looks at the tokens around it: quotation marks and words of report speak for
 quotation, words of address for abuse. A logistic model over the hits' sums gives the score.
 
-A null or empty text has no hits and gets the model's lowest kind of score. Scores depend on the text only. Without
-labelled rows the score is 0. Extra columns are not read. Equal doc_ids are scored row by row; empty tables give no rows.
+Terms of fewer than SHORT letters are matched exactly only: an edit of so short a word mostly gives another word. A null
+or empty text has no hits and gets the model's lowest kind of score. Scores depend on the text only. Without labelled
+rows the score is 0; where labels are too few for any term to stand out it is the share of toxic ones. Extra columns are not read. Equal doc_ids are scored row by row; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import remainder
+from textloom.session import written
 
 #: Labelled documents learned from, of each class, about.
 SAMPLE_DOCS = 20_000
-#: A term's log odds must exceed the first by so many standard errors (very many tokens are tried), and the last at all.
-LEAST_ODDS, ERRORS, PLAIN_ODDS = 0.5, 4.0, 2.0
+#: A term's log odds must exceed the first; its likelihood ratio must be one that this share of corpora would show for any
+#: of the tokens tried by chance.
+PLAIN_ODDS, CHANCE = 2.0, 0.05
 #: Tokens shorter than the first are matched exactly; from the second on two edits are allowed.
 SHORT, LONG = 5, 12
 WINDOW = 6
@@ -151,11 +154,16 @@ def learn_weights(rows: DataFrame) -> dict[str, float]:
     if not toxic or not clean:
         return {}
     each = one.select("toxic", "family", F.explode("w").alias("w")).distinct()
-    counts = each.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = written(each.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "tokens")
     odds = F.ln((F.col("a") + 0.5) / (toxic + 1)) - F.ln((F.col("b") + 0.5) / (clean + 1))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 1.0))
+    # Twice the log likelihood ratio against equal shares in both classes; it needs no clean document to have the term. Its
+    # tail falls like exp(-x / 2), and the bound is divided by the number of tokens tried.
+    every = F.col("a") + F.col("b")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (every * share))).otherwise(F.lit(0.0))
+    ratio = 2 * (part("a", toxic / (toxic + clean)) + part("b", clean / (toxic + clean)))
+    tried = counts.count()
     terms = counts.where(F.char_length("w") > 1).withColumn("odds", odds)
-    terms = terms.where((F.col("odds") - ERRORS * spread > LEAST_ODDS) & (F.col("odds") > PLAIN_ODDS))
+    terms = terms.where((ratio > 2 * math.log(max(tried, 1) / CHANCE)) & (F.col("odds") > PLAIN_ODDS))
     return {r.w: float(r.odds) for r in terms.select("w", "odds").collect()}  # bounded by the sample
 
 
@@ -213,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     chosen = sample(docs, labels)
     weights = learn_weights(chosen)
-    if not weights:
+    if not weights and chosen.isEmpty():
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     seen = _map(chosen, weights, None).collect()  # bounded by the sample
     model = fit(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float))
