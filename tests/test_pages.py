@@ -125,3 +125,13 @@ def test_links_and_queries_files(spark, tmp_path):
     assert sorted(r.link for r in readers.load_links(spark, str(tmp_path / "links")).collect()) == ["a", "b"]
     (tmp_path / "q.txt").write_text("a && b\n\n  \n!c\n")
     assert [r.query for r in readers.queries_txt(spark, str(tmp_path / "q.txt")).orderBy("query_id").collect()] == ["a && b", "!c"]
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from textloom.session import clear, written
+
+    table = written(spark.range(3), "some")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and clear(spark) >= 1 and not os.path.exists(path) and clear(spark) == 0

@@ -77,7 +77,8 @@ def attribute_nodes(html: Column, attribute: str, value: str, tag: str | None =
     def found(pages: pd.Series) -> pd.Series:
         return pages.map(one)
 
-    return found(html)
+    # Pages without the value do not cross to Python.
+    return found(F.when(F.contains(html, F.lit(value)), html))
 
 
 def title(html: Column, nodes: Column | None = None) -> Column:

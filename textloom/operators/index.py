@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.ordering import number_rows, previous_in_group, running_in_group, running_sum
 from textloom.operators.tokens import doc_terms
+from textloom.session import durable
 
 #: Postings are stored in this many folders by term hash, so a query reads only the folders of its terms.
 BUCKETS = 64
@@ -55,7 +56,8 @@ def gap_arrays(posts: DataFrame) -> DataFrame:
 def dictionary(posts: DataFrame, offsets: bool = False) -> DataFrame:
     """(term, doc_freq[, postings_offset]); an offset is 4 bytes for each posting of the terms before, in byte order."""
     terms = posts.groupBy("term").agg(F.count("*").alias("doc_freq"))
-    return running_sum(terms, [F.col("term")], 4 * F.col("doc_freq"), "postings_offset") if offsets else terms
+    # Stored first, as range bounds take a pass of their own.
+    return running_sum(durable(terms), [F.col("term")], 4 * F.col("doc_freq"), "postings_offset") if offsets else terms
 
 
 def index_stats(terms: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators.ordering import number_rows
+from textloom.session import durable
 
 
 def _terms(raw: DataFrame, min_chars: int, stemmed: bool = True) -> DataFrame:
@@ -51,6 +52,7 @@ def top_terms(frequencies: DataFrame, k: int = 10) -> DataFrame:
 
 def zipf(frequencies: DataFrame) -> DataFrame:
     """(rank, term, freq, ideal, log_rank, log_freq): ranks by falling frequency, ties by falling term in byte order."""
+    frequencies = durable(frequencies)  # read three times: for range bounds, for the ranks and for the maximum
     ranked = number_rows(frequencies, [F.desc("freq"), F.desc("term")], "rank", start=1)
     top = frequencies.agg(F.max("freq").alias("top"))  # one row
     return ranked.join(F.broadcast(top)).select(
