@@ -94,3 +94,16 @@ def test_pages(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect())
     assert got == [(0, "b & c", 5), (1, "", 0), (2, "", 0), (2, "a", 1), (3, "deep", 4)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(docs, items, tmp_path):
+    """Nulls, repeated rows, clashing names and empty tables through all five stages."""
+    for name, frame in (("odd", docs), ("empty", docs.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    spark = docs.sparkSession
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    kept = near_dup.filter_documents(quality.filter_documents(docs))
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in kept.collect())
+    assert corpus_pipeline.token_output(spark, docs, "").count() == len(ROWS) and corpus_pipeline.token_output(spark, docs.limit(0), "").count() == 0

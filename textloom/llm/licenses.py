@@ -104,7 +104,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
 
 def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     rows = [(i, label, w, len(set(t.split()))) for i, (label, t) in enumerate(templates) for w in sorted(set(t.split()))]
-    return spark.createDataFrame([(i, label, w, n, least(n)) for i, label, w, n in rows], "template int, label string, word string, size int, least int")
+    values = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(n).alias("size"), F.lit(least(n)).alias("least")) for i, label, w, n in rows]
+    return spark.range(1).select(F.inline(F.array(*values)))
 
 
 def containment_join(blocks: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
