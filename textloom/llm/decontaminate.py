@@ -83,14 +83,14 @@ class _Group:
             found = self.key(self.walks[table // TABLES], table)
             order = np.argsort(found, kind="stable")
             first = np.zeros(1 << self.bits, bool)
-            first[found >> np.uint64(64 - self.bits)] = True
+            first[found >> np.uint32(32 - self.bits)] = True
             self.tables.append((found[order], order, first))
 
     def meetings(self, table: int, symbols: np.ndarray) -> Iterator[np.ndarray]:
         """window * pieces + piece, for windows that have a piece's key and a walk that agrees with the piece's."""
         stored, order, first = self.tables[table]
         keys = self.key(symbols, table)
-        some = np.flatnonzero(first[keys >> np.uint64(64 - self.bits)])
+        some = np.flatnonzero(first.take(keys >> np.uint32(32 - self.bits), mode="clip"))
         left = np.searchsorted(stored, keys[some])
         n = np.searchsorted(stored, keys[some], "right") - left
         ends = np.cumsum(n)
@@ -98,30 +98,31 @@ class _Group:
             pair = np.arange(low, min(low + MEETINGS, int(ends[-1])))
             of = np.searchsorted(ends, pair, "right")
             window, piece = some[of], order[left[of] + pair - (ends[of] - n[of])]
-            near = (symbols[:, window] == self.walks[table // TABLES][:, piece]).mean(axis=0) >= AGREE
+            near = (symbols.take(window, axis=1) == self.walks[table // TABLES].take(piece, axis=1)).sum(axis=0, dtype=np.uint8) >= AGREE * self.steps
             yield window[near] * len(self.item) + piece[near]
 
     def walk(self, words: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
         """(steps, windows): CGK symbols of the windows from `starts` on; words reach on by as many as there are steps."""
         moves = (H.mix(np.arange(self.steps, dtype=np.uint64), 1000 + walk) >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
-        out, at, turn = np.empty((self.steps, len(starts)), np.uint32), starts.astype(np.int64), np.empty(len(starts), np.uint32)
+        out, at, turn = np.empty((self.steps, len(starts)), np.uint32), starts.astype(np.int32), np.empty(len(starts), np.uint32)
         for symbol, move in zip(out, moves, strict=True):
             words.take(at, out=symbol, mode="clip")
             np.multiply(symbol, move, out=turn)
             np.right_shift(turn, 31, out=turn)
-            np.add(at, turn, out=at, casting="unsafe")
+            np.add(at, turn.view(np.int32), out=at)
         return out
 
-    def samples(self, table: int) -> list[tuple[int, np.uint64]]:
+    def samples(self, table: int) -> list[tuple[int, np.uint32]]:
         """Sampled places of a table, with a factor each."""
         number = np.arange(PLACES, dtype=np.uint64) + np.uint64(table * PLACES)
         places = np.unique((H.mix(number, 5000).astype(np.float64) / 2.0**64 * self.steps).astype(np.int64)).tolist()
-        return list(zip(places, H.mix(number, 9) | np.uint64(1), strict=False))
+        return list(zip(places, (H.mix(number, 9) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), strict=False))
 
     def key(self, symbols: np.ndarray, table: int) -> np.ndarray:
         """Hash of the sampled places of each walk."""
-        key = np.zeros(symbols.shape[1], np.uint64)
-        for place, factor in self.sampled[table]:
+        (place, factor), *more = self.sampled[table]
+        key = symbols[place] * factor
+        for place, factor in more:
             key += symbols[place] * factor
         return key
 
