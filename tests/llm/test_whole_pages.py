@@ -80,3 +80,22 @@ def test_template_is_what_aligned_pages_share(spark):
     rows = [(i, f"https://h.org/{i}", page(i)) for i in range(10)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n".join([word(i, 2), *([word(i, 9)] if i % 2 else []), word(i, 5) + " end"]) for i in range(10)}
+
+
+def test_long_lists_are_matched_as_short_ones():
+    """What lies far from the diagonal is found whatever the number of siblings, and with many labels."""
+    rng = random.Random(2)
+    for n in (3, 300, 3000):
+        a, b = html_text.Tree("<p> # / " * n + "<h2> # / " * n), html_text.Tree("<h2> # / " * n + "<li> # / " * n)
+        pairs = html_text.match_trees(a, b)
+        assert sorted((m, k) for m, k in pairs.items() if a.tags[m] == "#" and m) == [(2 * n + 2 * i + 2, 2 * i + 2) for i in range(n)]
+    # Runs of labelled leaves in a list: the longest common run beyond what any two leaves weigh, by the plain table.
+    one, other = ([rng.randint(1, 60) for _ in range(n)] for n in (500, 420))
+    best = [0] * (len(other) + 1)
+    for u in one:
+        above, best = best, [0]
+        for j, v in enumerate(other):
+            best.append(max(above[j + 1], best[j], above[j] + 2 + (u == v)))
+    a, b = (html_text.Tree(" ".join(f"<p> #{k} /" for k in ks)) for ks in (one, other))
+    pairs = html_text.match_trees(a, b)
+    assert 1 + best[-1] == sum(1 + (a.tokens[n] == b.tokens[m] and n > 0 and a.tags[n] == "#" and a.tokens[n] != "#") for n, m in pairs.items())

@@ -13,14 +13,17 @@ Where a page marks its article, only leaves in it count.
 A page of which template would leave nothing (a copy of other pages' article) keeps its text. A null or empty html gives
 the empty text; a null url is a host of its own; pages of one host only need no others. Repeated rows are each extracted.
 Extra columns are not read. An empty table gives no rows. Depth and number of elements are not limited: trees are walked
-without recursion, and long lists of siblings that are not alike are matched near the diagonal only.
+without recursion, and lists of siblings of any length are matched in full, by vectors.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ from textloom.session import written
 SHARE, MIN_PAGES = 0.6, 3
 #: Wrappers of a host: one page of each of so many layouts, the most frequent ones.
 WRAPPERS = 3
-#: Pairs of unlike siblings that are compared in full; beyond, only those so near the diagonal.
-CELLS = 1 << 16
+#: Labels that a subtree lists; one of more may share a label with any that has some, which costs time only.
+LISTED = 8
 #: An article element within an element that is merely called content is the article if it holds this share of the text.
 INNER_SHARE = 0.7
 #: Tables by host are broadcast up to so many bytes, after a sum of their sizes.
@@ -226,11 +229,20 @@ class Tree:
             self.tags.append("#" if token[0] == "#" else token)
             self.tokens.append(token)
             self.children.append([])
-        # What a subtree weighs when matched with an equal one.
+        # What a subtree weighs when matched with an equal one, and its code; nodes and code of the subtree without labels.
         self.size, self.code = [1 + (t[0] == "#" and 1 < len(t) and t != "#root") for t in self.tokens], [0] * len(self.tags)
+        self.count, self.bare = [1] * len(self.tags), [0] * len(self.tags)
+        #: Labels of a subtree, None for more than LISTED.
+        self.labels: list = [frozenset([t] if size > 1 else ()) for t, size in zip(self.tokens, self.size, strict=True)]
         for n in range(len(self.tags) - 1, -1, -1):  # children have larger numbers
-            self.size[n] += sum(self.size[c] for c in self.children[n])
-            self.code[n] = hash((self.tokens[n], tuple(self.code[c] for c in self.children[n])))
+            below = self.children[n]
+            self.size[n] += sum(self.size[c] for c in below)
+            self.count[n] += sum(self.count[c] for c in below)
+            self.code[n] = hash((self.tokens[n], tuple(self.code[c] for c in below)))
+            self.bare[n] = hash((self.tags[n], tuple(self.bare[c] for c in below)))
+            for c in below:
+                both = None if self.labels[n] is None or self.labels[c] is None else self.labels[n] | self.labels[c]
+                self.labels[n] = both if both is None or len(both) <= LISTED else None
         #: Number among the leaves of each leaf node.
         self.leaf = {n: i for i, n in enumerate(n for n, t in enumerate(self.tags) if t == "#")}
 
@@ -259,71 +271,143 @@ def labelled(shape: str, labels: list[int], recurring: frozenset[int]) -> str:
     return " ".join(f"#{c}" if t == "#" and (c := next(each)) in recurring else t for t in shape.split())
 
 
-def _siblings(a: Tree, b: Tree, x: int, y: int, weigh) -> list[tuple[int, int]]:
-    """Pairs of children of x and y of the heaviest matching that keeps their order. Equal subtrees at both ends belong to
-    some heaviest matching; what is between is found by the usual table."""
+def _share(one: frozenset | None, other: frozenset | None) -> bool:
+    """Whether two subtrees may have a label in common."""
+    if one is None or other is None:
+        return one != frozenset() and other != frozenset()
+    return not one.isdisjoint(other)
+
+
+def _kinds(codes: list[int], nodes: list[int]) -> tuple[list[int], list[int]]:
+    """(one node of each code, the number of each node's code)."""
+    numbers: dict[int, int] = {}
+    which = [numbers.setdefault(codes[n], len(numbers)) for n in nodes]
+    first = dict(zip(reversed(which), reversed(nodes), strict=True))
+    return [first[k] for k in range(len(numbers))], which
+
+
+def _heaviest(m: int, n: int, row: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of the heaviest matching of two sequences that keeps order, last ones first; row(i): weights of i with all of the
+    other. Of the table every isqrt(m)-th row is kept, and those between are made again on the way back."""
+    step = isqrt(m) + 1
+
+    def after(best: np.ndarray, i: int) -> np.ndarray:
+        new = best.copy()
+        np.maximum(new[1:], best[:-1] + row(i), out=new[1:])
+        return np.maximum.accumulate(new, out=new)
+
+    kept = [best := np.zeros(n + 1, np.int32)]
+    for i in range((m - 1) // step * step):
+        best = after(best, i)
+        if (i + 1) % step == 0:
+            kept.append(best)
+    out, i, j = [], m, n
+    while i and j:
+        low = (i - 1) // step * step
+        table = [kept[low // step]]
+        for k in range(low, i):
+            table.append(after(table[-1], k))
+        while i > low and j:
+            here = table[i - low][j]
+            if here == table[i - low - 1][j]:
+                i -= 1
+            elif here == table[i - low][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+    return out
+
+
+def _siblings(a: Tree, b: Tree, x: int, y: int, bare: bool, weigh, need: list) -> list[tuple[int, int]]:
+    """Pairs of children of x and y of the heaviest matching that keeps their order; none if `need` says that weights lack.
+    Equal subtrees at both ends belong to some heaviest matching; what is between is found by the usual table. Subtrees
+    without a common label weigh what they weigh without labels."""
+    one, other = (a.bare, b.bare) if bare else (a.code, b.code)
     left, right = a.children[x], b.children[y]
     first, m, n, out = 0, len(left), len(right), []
-    while first < m and first < n and a.code[left[first]] == b.code[right[first]]:
+    while first < m and first < n and one[left[first]] == other[right[first]]:
         out.append((left[first], right[first]))
         first += 1
-    while m > first and n > first and a.code[left[m - 1]] == b.code[right[n - 1]]:
+    while m > first and n > first and one[left[m - 1]] == other[right[n - 1]]:
         m, n = m - 1, n - 1
         out.append((left[m], right[n]))
     left, right = left[first:m], right[first:n]
     if not left or not right:
         return out
-    band = len(right) if len(left) * len(right) <= CELLS else max(1, CELLS // (2 * len(left)))
-    best: list[dict[int, int]] = [{}]
-    for i, u in enumerate(left, 1):
-        middle = i * len(right) // len(left)
-        above, row = best[-1], {}
-        for j in range(max(1, middle - band), min(len(right), middle + band) + 1):
-            row[j] = max(above.get(j, 0), row.get(j - 1, 0), above.get(j - 1, 0) + weigh(u, right[j - 1]))
-        best.append(row)
-    i, j = len(left), max(best[-1], key=lambda k: (best[-1][k], k))
-    while i and j:
-        here = best[i].get(j, 0)
-        if here == best[i - 1].get(j, 0):
-            i -= 1
-        elif here == best[i].get(j - 1, 0):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((left[i], right[j]))
-    return out
+    (mine, left_kind), (theirs, right_kind) = _kinds(one, left), _kinds(other, right)
+    (my_bare, left_bare), (their_bare, right_bare) = _kinds(a.bare, mine), _kinds(b.bare, theirs)
+    weights = np.array([[weigh(u, v, True, need) for v in their_bare] for u in my_bare], np.int32)
+    known: list = [([], [])] * len(mine)
+    if not bare:
+        # Which kinds have a label, and which more than are listed.
+        having: dict[str, list[int]] = {}
+        some, many = [], []
+        for k, v in enumerate(theirs):
+            if b.labels[v] is None:
+                many.append(k)
+            elif b.labels[v]:
+                some.append(k)
+            for label in b.labels[v] or ():
+                having.setdefault(label, []).append(k)
+        for k, u in enumerate(mine):
+            if a.labels[u] is None:
+                near = some + many
+            elif a.labels[u]:
+                near = list({j for label in a.labels[u] for j in having.get(label, ())}) + many
+            else:
+                continue
+            known[k] = near, [weigh(u, theirs[j], False, need) for j in near]
+    if need:
+        return []
+    right_kind, right_bare = np.array(right_kind), np.array(right_bare)
+
+    def row(i: int) -> np.ndarray:
+        k = left_kind[i]
+        by_kind = weights[left_bare[k]].take(right_bare)
+        by_kind[known[k][0]] = known[k][1]
+        return by_kind.take(right_kind)
+
+    return out + [(left[i], right[j]) for i, j in _heaviest(len(left), len(right), row)]
 
 
 def match_trees(a: Tree, b: Tree) -> dict[int, int]:
     """Simple tree matching: node of a -> node of b, the heaviest set of pairs of equal tags under paired parents."""
     codes: dict[tuple[int, int], int] = {}
 
-    def weight_or_need(u, v, need):
+    def code(u, v, bare):
+        return (a.bare[u], b.bare[v]) if bare else (a.code[u], b.code[v])
+
+    def weigh(u, v, bare, need):
         """The weight of the matching of two subtrees, known or simple; else what must be found first."""
         if a.tags[u] != b.tags[v]:
             return 0
-        if a.code[u] == b.code[v]:
-            return a.size[u]
+        bare = bare or not _share(a.labels[u], b.labels[v])
+        key = code(u, v, bare)
+        if key[0] == key[1]:
+            return a.count[u] if bare else a.size[u]
         if not a.children[u] or not b.children[v]:
             return 1
-        key = (a.code[u], b.code[v])
         if key not in codes:
-            need.append((u, v))
+            need.append((u, v, bare))
         return codes.get(key, 0)
 
-    def solve(u, v):
-        todo = [(u, v)]
-        while todo:
-            x, y = todo[-1]
+    def pairs_of(u, v):
+        """Paired children, after the weights of all pairs of subtrees that they need."""
+        todo = [(u, v, False)]
+        while True:
+            x, y, bare = todo[-1]
             need: list = []
-            pairs = _siblings(a, b, x, y, lambda p, q: weight_or_need(p, q, need))
-            total = 1 + sum(weight_or_need(p, q, need) for p, q in pairs)
+            pairs = _siblings(a, b, x, y, bare, weigh, need)
+            total = 1 + sum(weigh(p, q, bare, need) for p, q in pairs)
             if need:
                 todo.extend(dict.fromkeys(need))
                 continue
-            codes[a.code[x], b.code[y]] = total
+            if len(todo) == 1:
+                return pairs
+            codes[code(x, y, bare)] = total
             todo.pop()
-            while todo and (a.code[todo[-1][0]], b.code[todo[-1][1]]) in codes:
+            while len(todo) > 1 and code(*todo[-1]) in codes:
                 todo.pop()
 
     out, todo = {}, [(0, 0)]
@@ -333,9 +417,7 @@ def match_trees(a: Tree, b: Tree) -> dict[int, int]:
         if a.code[x] == b.code[y]:
             todo.extend(zip(a.children[x], b.children[y], strict=True))
         elif a.children[x] and b.children[y]:
-            if (a.code[x], b.code[y]) not in codes:
-                solve(x, y)
-            todo.extend((p, q) for p, q in _siblings(a, b, x, y, lambda p, q: weight_or_need(p, q, [])) if a.tags[p] == b.tags[q])
+            todo.extend(pairs_of(x, y))
     return out
 
 
