@@ -119,6 +119,36 @@ def test_leaks_query_against_brute_force(spark, tmp_path):
     assert {(d, i) for d, t in DOCS for i, b in items if b in t} <= set(got)
 
 
+def test_meetings_and_word_bits_equal_plain_ones():
+    """All tables of a walk at once against each key with each, and words around windows against a look at every word."""
+    matcher = decontaminate.Matcher(table("benchmark"))
+    words, at = hashing.words_by_text([t.lower() for _, t in DOCS[:12] + table("benchmark")[:40:4]] + ["a", "b c"], hashing.MARKS)
+    marks, met_at_all = decontaminate._bits(words), 0
+    for group in matcher.groups:
+        flat = np.concatenate([decontaminate._short(words), np.zeros(group.steps, np.uint32)])
+        starts = np.arange(0, len(words), group.stride)
+        for part in (starts[:1001], starts[-1003:]):
+            for walk in range(decontaminate.WALKS):
+                symbols, pieces, want = group.walk(flat, part, walk), len(group.item), set()
+                for number in range(walk * decontaminate.TABLES, (walk + 1) * decontaminate.TABLES):
+                    mine, theirs = (np.add.reduce([s[p] * f for p, f in group.sampled[number]], dtype=np.uint32) for s in (symbols, group.walks[walk]))
+                    want |= set(zip(*np.nonzero(mine[:, None] == theirs), strict=True))
+                want = {int(w) * pieces + int(i) for w, i in want if (symbols[:, w] == group.walks[walk][:, i]).sum() >= decontaminate.AGREE * group.steps}
+                got = [m for found in group.meetings(walk, symbols) for m in found.tolist()]
+                assert set(got) == want
+                met_at_all += len(want)
+            met = np.unique(np.random.default_rng(1).integers(0, len(part) * pieces, 3000))
+            met = np.unique(np.concatenate([met, np.arange(pieces), np.arange((len(part) - 1) * pieces, len(part) * pieces)]))
+            likely = set()
+            for window, piece in zip(*(v.tolist() for v in np.divmod(met, pieces)), strict=True):
+                start = int(part[window])
+                near = np.bitwise_or.reduce(marks[max(start - group.slack, 0) : start + 2 * group.low + group.slack], axis=0)
+                if int(np.bitwise_count(group.marks[piece] & ~near).sum()) <= group.most[piece]:
+                    likely.add((int(np.searchsorted(at, start, "right")) - 1, int(group.item[piece]), start - int(group.offset[piece])))
+            assert matcher._likely(group, met, part, marks, at) == sorted(likely)
+    assert met_at_all > 100
+
+
 def test_long_items_and_common_runs_need_little_memory():
     import tracemalloc
 

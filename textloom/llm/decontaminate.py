@@ -78,27 +78,41 @@ class _Group:
         self.walks = np.stack([self.walk(flat, starts, walk) for walk in range(WALKS)])
         self.bits = int(np.clip(np.log2(len(items)) + 7, 12, 24))
         self.sampled = [self.samples(table) for table in range(WALKS * TABLES)]
-        self.tables = []
-        for table in range(WALKS * TABLES):
-            found = self.key(self.walks[table // TABLES], table)
-            order = np.argsort(found, kind="stable")
-            first = np.zeros(1 << self.bits, bool)
-            first[found >> np.uint32(32 - self.bits)] = True
-            self.tables.append((found[order], order, first))
-
-    def meetings(self, table: int, symbols: np.ndarray) -> Iterator[np.ndarray]:
+        # By table which first bits of keys there are; by walk the keys of its tables in order, a table's number above each.
+        self.firsts, self.tables = [], []
+        for walk in range(WALKS):
+            found = [self.key(self.walks[walk], table, np.empty(len(items), np.uint32)) for table in range(walk * TABLES, (walk + 1) * TABLES)]
+            for keys in found:
+                self.firsts.append(np.zeros(1 << self.bits, bool))
+                self.firsts[-1][keys >> np.uint32(32 - self.bits)] = True
+            stored = np.concatenate([_of_table(keys, table) for table, keys in enumerate(found)])
+            order = np.argsort(stored, kind="stable")
+            self.tables.append((stored[order], order % len(items)))
+
+    def meetings(self, walk: int, symbols: np.ndarray) -> Iterator[np.ndarray]:
         """window * pieces + piece, for windows that have a piece's key and a walk that agrees with the piece's."""
-        stored, order, first = self.tables[table]
-        keys = self.key(symbols, table)
-        some = np.flatnonzero(first.take(keys >> np.uint32(32 - self.bits), mode="clip"))
-        left = np.searchsorted(stored, keys[some])
-        n = np.searchsorted(stored, keys[some], "right") - left
+        stored, order = self.tables[walk]
+        n = symbols.shape[1]
+        # Rows of whole eights of windows, so that those without a key are passed over by eights.
+        keys, has = np.empty((TABLES, n + -n % 8), np.uint32), np.zeros((TABLES, n + -n % 8), bool)
+        for table in range(TABLES):
+            key = self.key(symbols, walk * TABLES + table, keys[table, :n])
+            self.firsts[walk * TABLES + table].take(key >> np.uint32(32 - self.bits), mode="clip", out=has[table, :n])
+        eights = np.flatnonzero(has.view(np.uint64))
+        which, one = np.nonzero(has.reshape(-1, 8)[eights])
+        where = eights[which] * 8 + one
+        table, some = np.divmod(where, has.shape[1])
+        keys = _of_table(keys.ravel()[where], table)
+        left = np.searchsorted(stored, keys)
+        real = stored.take(left, mode="clip") == keys
+        some, keys, left = some[real], keys[real], left[real]
+        n = np.searchsorted(stored, keys, "right") - left
         ends = np.cumsum(n)
         for low in range(0, int(ends[-1]) if len(ends) else 0, MEETINGS):
             pair = np.arange(low, min(low + MEETINGS, int(ends[-1])))
             of = np.searchsorted(ends, pair, "right")
             window, piece = some[of], order[left[of] + pair - (ends[of] - n[of])]
-            near = (symbols.take(window, axis=1) == self.walks[table // TABLES].take(piece, axis=1)).sum(axis=0, dtype=np.uint8) >= AGREE * self.steps
+            near = (symbols.take(window, axis=1) == self.walks[walk].take(piece, axis=1)).sum(axis=0, dtype=np.uint8) >= AGREE * self.steps
             yield window[near] * len(self.item) + piece[near]
 
     def walk(self, words: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
@@ -118,13 +132,24 @@ class _Group:
         places = np.unique((H.mix(number, 5000).astype(np.float64) / 2.0**64 * self.steps).astype(np.int64)).tolist()
         return list(zip(places, (H.mix(number, 9) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), strict=False))
 
-    def key(self, symbols: np.ndarray, table: int) -> np.ndarray:
+    def key(self, symbols: np.ndarray, table: int, out: np.ndarray) -> np.ndarray:
         """Hash of the sampled places of each walk."""
         (place, factor), *more = self.sampled[table]
-        key = symbols[place] * factor
+        np.multiply(symbols[place], factor, out=out)
         for place, factor in more:
-            key += symbols[place] * factor
-        return key
+            out += symbols[place] * factor
+        return out
+
+
+def _of_table(keys: np.ndarray, table: int | np.ndarray) -> np.ndarray:
+    """Keys with the number of their table above."""
+    return keys.astype(np.int64) | (table << 32)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of the parts."""
+    values = np.sort(np.concatenate(parts))
+    return values[np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])]
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -193,29 +218,38 @@ class Matcher:
             every = np.arange(0, len(words), group.stride)
             for part in range(0, len(every), PART):
                 starts = every[part : part + PART]
-                met = np.zeros(0, np.int64)
+                met, new = [np.zeros(0, np.int64)], 0
                 for walk in range(WALKS):
-                    symbols = group.walk(flat, starts, walk)
-                    found = [f for table in range(walk * TABLES, (walk + 1) * TABLES) for f in group.meetings(table, symbols)]
-                    if found:
-                        met = np.unique(np.concatenate([met, *found]))
-                if len(met):
+                    for found in group.meetings(walk, group.walk(flat, starts, walk)):
+                        met.append(found)
+                        new += len(found)
+                        if new > max(MEETINGS, len(met[0])):
+                            met, new = [_distinct(met)], 0
+                if len(met := _distinct(met)):
                     self._verify(self._likely(group, met, starts, marks, at), words, at, base, out)
 
     def _likely(self, group: _Group, met: np.ndarray, starts: np.ndarray, marks: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, where the item begins by the window) of the meetings that words allow: an item's word that is not
         around the window is an edit, and a bit that no word there has is such a word's."""
-        around = np.arange(-group.slack, 2 * group.low + group.slack)
         out: set[tuple[int, int, int]] = set()
-        windows = np.unique(met // len(group.item))
+        begin, width = int(starts[0]) - group.slack, 2 * (group.low + group.slack)
+        # Bits of the words around every place, by halves that overlap; at the ends of the words fewer are there.
+        last = int(starts[-1]) + group.low * 2 + group.slack
+        near = np.concatenate([np.zeros((max(-begin, 0), 4), np.uint64), marks[max(begin, 0) : last], np.zeros((max(last - len(marks), 0), 4), np.uint64)])
+        size = 1
+        while 2 * size <= width:
+            near = near[:-size] | near[size:]
+            size *= 2
+        windows = _distinct([met // len(group.item)])
         for first in range(0, len(windows), 1 << 10):
             some = windows[first : first + (1 << 10)]
-            near = np.bitwise_or.reduce(marks[np.clip(starts[some][:, None] + around, 0, len(marks) - 1)], axis=1)
+            place = starts[some] - starts[0]
+            around = near[place] | near[place + (width - size)]
             low, high = np.searchsorted(met, [some[0] * len(group.item), (some[-1] + 1) * len(group.item)])
             for part in range(low, high, MEETINGS):
                 codes = met[part : min(part + MEETINGS, high)]
                 window, piece = np.divmod(codes, len(group.item))
-                lacking = np.bitwise_count(group.marks[piece] & ~near[np.searchsorted(some, window)]).sum(axis=1, dtype=np.int64)
+                lacking = np.bitwise_count(group.marks[piece] & ~around[np.searchsorted(some, window)]).sum(axis=1, dtype=np.int64)
                 keep = lacking <= group.most[piece]
                 window, piece = window[keep], piece[keep]
                 row = np.searchsorted(at, starts[window], "right") - 1
