@@ -237,6 +237,23 @@ def test_coded_size_is_that_of_the_mixture():
     assert bits < size < 1.05 * bits + 16 * new + 64
 
 
+def test_statistics_of_a_block_are_small():
+    """All blocks of a segment are coded in step, so what one holds is what the caches and a worker must hold a thousand times."""
+    arrays = [v for v in vars(context_mixing._Model(64)).values() if isinstance(v, np.ndarray)]
+    assert sum(v.nbytes for v in arrays) < 64 * (60 << 10)
+    # A number may fill its block: counts, nodes and followers at the ends of what they hold.
+    for ids in (np.full(context_mixing.BLOCK_TOKENS, 7), np.arange(context_mixing.BLOCK_TOKENS), np.tile([1, 2, 2, 3], context_mixing.BLOCK_TOKENS // 4)):
+        assert (context_mixing.decode_blocks(context_mixing.encode_blocks([ids, ids[:5]]), [len(ids), 5])[0] == ids).all()
+
+
+def test_long_pieces_are_not_remembered():
+    encoder = token_files.Encoder(VOCABULARY)
+    long = "x" * (encoder.LONGEST + 9)
+    texts = [f"{long} ab {long} cd", f"ab {long}", "cd ab"]
+    assert encoder.ids(texts) == encoder.ids(texts) == [encoder._encoded([t])[0] for t in texts]
+    assert set(encoder.memo) == {"ab", "cd", " ab", " cd"}
+
+
 def test_encoder_equals_library():
     """Against an unaltered library: its own texts, odd ones, and random strings of what its splitter looks at."""
     from tokenizers import Tokenizer

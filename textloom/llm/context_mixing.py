@@ -30,7 +30,8 @@ _TOTAL = (1 << SPLIT_BITS) - 8
 #: Class of an id: bits of the id plus one, less one.
 CLASS = np.frexp(np.arange(1, IDS + 1, dtype=np.float64))[1] - 1
 CLASSES = 17
-_CLASS_STEPS = np.arange(CLASSES)
+#: What a new id of a class adds to the numbers of each.
+_CLASS_ADD = (np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None]).astype(np.int16)
 #: The states of a record are the counts of its two followers, up to these.
 MOST_FIRST, MOST_SECOND = 15, 3
 _P, _Q = (x.ravel() for x in np.meshgrid(np.arange(MOST_FIRST + 1), np.arange(MOST_SECOND + 1), indexing="ij"))
@@ -54,11 +55,17 @@ def _next_states() -> tuple[np.ndarray, np.ndarray]:
 
 
 _AFTER, _TURN = _next_states()
-#: What one more number adds to a node: counts before each of four branches, in 16 bits each.
-_ADD = np.array([sum(1 << 16 * k for k in range(d + 1, 4)) for d in range(4)], np.uint64)
-_FIELD = np.uint64(0xFFFF)
-_SHIFT = np.arange(0, 64, 16, dtype=np.uint64)
+_AFTER_FIELD = _AFTER << 26
+#: A node has counts before each of four branches, in 16 bits each. One in each of the last three, and their top bits; the
+#: ones moved by 16 bits for each branch are what one more number of that branch adds.
+_ONES, _TOPS = np.uint64(0x0001000100010000), np.uint64(0x8000800080000000)
+_FIELD, _TO_BITS = np.uint64(0xFFFF), np.uint64(4)
 LEVELS = 6
+#: Nodes of a block by level, first ones, and the bits of a number above and in each level.
+_LEVEL_FIRST = (4 ** np.arange(LEVELS)[:, None] - 1) // 3
+_ABOVE = 2 * np.arange(LEVELS, 0, -1)[:, None]
+NODES = (4**LEVELS - 1) // 3
+_CASES, _ORDERS = np.arange(4, 0, -1, dtype=np.uint8)[:, None], np.arange(3)[:, None]
 
 
 class _Writer:
@@ -66,7 +73,9 @@ class _Writer:
 
     def __init__(self, lanes: int, capacity: int):
         self.range, self.low = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64)
-        self.words, self.at, self.lane = np.zeros((lanes, capacity), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
+        self.lane, self.capacity = np.arange(lanes), capacity
+        # Words of all blocks, and where each one's next word goes.
+        self.words, self.at = np.zeros(lanes * capacity, np.uint16), self.lane * capacity
 
     def split(self, n: int, start: np.ndarray, size: np.ndarray, rest: np.ndarray, start0: np.ndarray, size0: np.ndarray, total0: np.ndarray) -> None:
         """One interval of the split in each of the first n blocks, and one of the order-0 range inside it for those of `rest`."""
@@ -89,28 +98,27 @@ class _Writer:
         self._settle(lanes)
 
     def _settle(self, lanes: np.ndarray) -> None:
-        where = lanes[self.low[lanes] > _MASK48]
+        where = lanes[self.low.take(lanes) > _MASK48]
         if len(where):
             self.low[where] &= _MASK48
             back = self.at[where] - 1
-            while len(where):
-                self.words[where, back] += np.uint16(1)
-                again = self.words[where, back] == 0
-                where, back = where[again], back[again] - 1
-        while len(lanes := lanes[self.range[lanes] < _LEAST]):
-            low = self.low[lanes]
-            self.words[lanes, self.at[lanes]] = low >> np.uint64(32)
-            self.at[lanes] += 1
+            while len(back):
+                self.words[back] += np.uint16(1)
+                back = back[self.words[back] == 0] - 1
+        while len(lanes := lanes[self.range.take(lanes) < _LEAST]):
+            low, at = self.low.take(lanes), self.at.take(lanes)
+            self.words[at] = low >> np.uint64(32)
+            self.at[lanes] = at + 1
             self.low[lanes] = (low << _WORD) & _MASK48
-            self.range[lanes] <<= _WORD
+            self.range[lanes] = self.range.take(lanes) << _WORD
 
     def finish(self) -> list[bytes]:
         """Emits the last words; each block's coded bytes."""
         for _ in range(3):
-            self.words[self.lane, self.at] = self.low >> np.uint64(32)
+            self.words[self.at] = self.low >> np.uint64(32)
             self.low = (self.low << _WORD) & _MASK48
             self.at += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
+        return [self.words[i * self.capacity : n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 class _Reader:
@@ -134,103 +142,110 @@ class _Reader:
 
 
 class _Model:
-    """Statistics of many blocks. Numbers are those of the block plus one; 0 is none."""
+    """Statistics of many blocks. Numbers are those of the block plus one; 0 is none. What is alike for the order-2 and the
+    order-1 record, for the four followers or for the levels of the trees is done for all in one go, as rows."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.count = np.zeros(lanes * (BLOCK_TOKENS + 1), np.int32)
+        self.count = np.zeros(lanes * (BLOCK_TOKENS + 1), np.uint16)
         self.count_base = self.lane * (BLOCK_TOKENS + 1)
-        # Trees of counts: nodes of four branches.
-        self.nodes = [np.zeros(lanes << 2 * level, np.uint64) for level in range(LEVELS)]
+        # Trees of counts: nodes of four branches, a block's after another's.
+        self.nodes = np.zeros(lanes * NODES, np.uint64)
+        self.node_base = self.lane * NODES
         self.seen, self.once, self.distinct = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.one, self.two = np.zeros(lanes * (BLOCK_TOKENS + 1), np.int64), np.zeros(lanes * SLOTS, np.int64)
-        self.weights = [np.tile(w, lanes) for w in _START]
-        self.classes = np.tile(_CLASS_STEPS, (lanes, 1))
-
-    def look(self, n: int, before: np.ndarray, last: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(followers, ends): recorded followers, 0 for none, and the ends of their intervals in the split."""
-        self.at_two = self.lane[:n] * SLOTS + (((before * 40503 + last * 30011) >> 3) & (SLOTS - 1))
-        self.at_one = self.count_base[:n] + last
-        two, one = self.two[self.at_two], self.one[self.at_one]
-        self.two_fields = a2, b2, s2 = two & 8191, (two >> 13) & 8191, two >> 26
-        self.one_fields = a1, b1, s1 = one & 8191, (one >> 13) & 8191, one >> 26
-        self.bucket = self.lane[:n] * 64 + (_LEVEL[s2] * 8 + _LEVEL[s1])
-        self.now = w0, w1, w2 = [w[self.bucket] for w in self.weights]
+        # Records of order 2, then of order 1: 13 bits for each follower, 6 for the state.
+        self.records = np.zeros(lanes * (SLOTS + BLOCK_TOKENS + 1), np.uint32)
+        self.two_base, self.one_base = self.lane * SLOTS, lanes * SLOTS + self.count_base
+        self.weights, self.weight_base = np.tile(_START.T, (lanes, 1)).ravel(), self.lane * 192
+        # Numbers of new ids in smaller classes, and in all, with one more for each class.
+        self.classes = np.tile(np.arange(CLASSES + 1, dtype=np.int16), (lanes, 1))
+
+    def look(self, n: int, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(followers, ends), by rows: recorded followers, 0 for none, with a row to spare, and the bounds of their intervals
+        in the split, from 0 to that of the rest."""
+        self.at = np.empty((2, n), np.int64)
+        np.add(self.two_base[:n], ((before * 40503 + last * 30011) >> 3) & (SLOTS - 1), out=self.at[0])
+        np.add(self.one_base[:n], last, out=self.at[1])
+        records = self.records.take(self.at, mode="clip").astype(np.int64)
+        self.fields = first, second, state = records & 8191, (records >> 13) & 8191, records >> 26
+        level = _LEVEL.take(state, mode="clip")
+        self.bucket = (self.weight_base[:n] + (level[0] * 24 + level[1] * 3)) + _ORDERS
+        self.now = w0, w1, w2 = self.weights.take(self.bucket, mode="clip")
         part = 1 / (w0 + w1 + w2)
         self.w0 = w0 * part / (self.seen[:n] + self.once[:n] + 1)
-        w1, w2 = w1 * part, w2 * part
-        self.two_shares = pa2, pb2 = w2 * _SHARE_FIRST[s2], w2 * _SHARE_SECOND[s2]
-        self.one_shares = pa1, pb1 = w1 * _SHARE_FIRST[s1], w1 * _SHARE_SECOND[s1]
+        weight = np.empty((2, n))
+        np.multiply(w2, part, out=weight[0])
+        np.multiply(w1, part, out=weight[1])
+        self.shares = shares_first, shares_second = weight * _SHARE_FIRST.take(state, mode="clip"), weight * _SHARE_SECOND.take(state, mode="clip")
         # A follower in both records is coded once, by the sum.
-        aa, ab, ba, bb = a2 == a1, a2 == b1, b2 == a1, b2 == b1
-        known = [a2, b2, a1 * ~(aa | ba), b1 * ~(ab | bb)]
-        shares = [pa2 + pa1 * aa + pb1 * ab, pb2 + pa1 * ba + pb1 * bb, pa1, pb1]
-        ends, end = [], 0
-        for x, share in zip(known, shares, strict=True):
-            mass = share + self.w0 * self.count[self.count_base[:n] + x]
-            end = end + ((mass * _TOTAL).astype(np.int64) + 1) * (x > 0)
-            ends.append(end)
+        known, shares = np.empty((5, n), np.int64), np.empty((4, n))
+        known[0], known[1], known[4] = first[0], second[0], 0
+        shares[0], shares[1], shares[2], shares[3] = shares_first[0], shares_second[0], shares_first[1], shares_second[1]
+        as_first, as_second = known[:2] == first[1], known[:2] == second[1]
+        np.multiply(first[1], ~(as_first[0] | as_first[1]), out=known[2])
+        np.multiply(second[1], ~(as_second[0] | as_second[1]), out=known[3])
+        shares[:2] += shares[2] * as_first
+        shares[:2] += shares[3] * as_second
+        mass = shares + self.w0 * self.count.take(self.count_base[:n] + known[:4], mode="clip")
+        ends = np.empty((6, n), np.int64)
+        ends[0], ends[5] = 0, 1 << SPLIT_BITS
+        np.multiply((mass * _TOTAL).astype(np.int64) + 1, known[:4] > 0, out=ends[1:5])
+        for k in range(1, 4):
+            ends[k + 1] += ends[k]
         return known, ends
 
     def path(self, n: int, x: np.ndarray) -> np.ndarray:
         """Finds the nodes above the numbers x; gives counts of all smaller numbers."""
-        number, total = x - 1, 0
-        self.above = []
-        for level, nodes in enumerate(self.nodes):
-            place = (self.lane[:n] << 2 * level) + (number >> 12 - 2 * level)
-            digit = (number >> 10 - 2 * level) & 3
-            node = nodes[place]
-            total = total + ((node >> _SHIFT[digit]) & _FIELD)
-            self.above.append((place, node, digit))
-        return total
+        number = x - 1
+        place = (number >> _ABOVE) + (self.node_base[:n] + _LEVEL_FIRST)
+        shift = ((number >> (_ABOVE - 2)) & 3).view(np.uint64) << _TO_BITS
+        node = self.nodes.take(place, mode="clip")
+        self.above = place, node, shift
+        return ((node >> shift) & _FIELD).sum(axis=0)
 
     def find(self, lane: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The number whose counts cover a place."""
-        number = np.zeros(len(lane), np.int64)
-        for level, nodes in enumerate(self.nodes):
-            node = nodes[(lane << 2 * level) + number]
-            one, two, three = (node >> _SHIFT[1]) & _FIELD, (node >> _SHIFT[2]) & _FIELD, node >> _SHIFT[3]
-            digit = (place >= one).astype(np.int64) + (place >= two) + (place >= three)
-            place = place - ((node >> _SHIFT[digit]) & _FIELD)
+        number, base = np.zeros(len(lane), np.int64), self.node_base[lane]
+        for first in _LEVEL_FIRST[:, 0].tolist():
+            node = self.nodes.take(base + (number + first), mode="clip")
+            # All three counts are taken from the place at once; a top bit stays where the count is not larger.
+            digit = np.bitwise_count((place * _ONES + _TOPS - node) & _TOPS)
+            place = place - ((node >> (digit.astype(np.uint64) << _TO_BITS)) & _FIELD)
             number = number * 4 + digit
         return number + 1
 
     def learn(self, n: int, x: np.ndarray, fresh: np.ndarray) -> None:
         """Takes in the numbers x, whose path was found; fresh: new in their blocks."""
         at = self.count_base[:n] + x
-        times = self.count[at]
-        self.count[at] = times + 1
-        (pa2, pb2), (pa1, pb1) = self.two_shares, self.one_shares
-        (a2, b2, s2), (a1, b1, s1) = self.two_fields, self.one_fields
-        is_a2, is_b2, is_a1, is_b1 = a2 == x, b2 == x, a1 == x, b1 == x
-        parts = [self.w0 * (times + fresh * (self.once[:n] + 1)), pa1 * is_a1 + pb1 * is_b1, pa2 * is_a2 + pb2 * is_b2]
-        whole = 1 / (parts[0] + parts[1] + parts[2])
-        for weight, now, part in zip(self.weights, self.now, parts, strict=True):
-            weight[self.bucket] = now + part * whole
-        self.two[self.at_two] = _recorded(a2, b2, s2, is_a2, is_b2, x)
-        self.one[self.at_one] = _recorded(a1, b1, s1, is_a1, is_b1, x)
-        for nodes, (place, node, digit) in zip(self.nodes, self.above, strict=True):
-            nodes[place] = node + _ADD[digit]
+        times = self.count.take(at, mode="clip")
+        self.count[at] = times + np.uint16(1)
+        first, second, state = self.fields
+        is_first, is_second = first == x, second == x
+        zero = self.w0 * (times + fresh * (self.once[:n] + 1))
+        two, one = self.shares[0] * is_first + self.shares[1] * is_second
+        whole = 1 / (zero + one + two)
+        parts = np.empty((3, n))
+        for part, mass in zip(parts, (zero, one, two), strict=True):
+            np.multiply(mass, whole, out=part)
+        self.weights[self.bucket] = self.now + parts
+        # Records after x.
+        case = state * 3 + 2 - 2 * is_first - is_second
+        second = np.where(is_first, second, x)
+        both = first + second
+        first = np.where(_TURN.take(case, mode="clip"), second, first)
+        self.records[self.at] = first | ((both - first) << 13) | _AFTER_FIELD.take(case, mode="clip")
+        place, node, shift = self.above
+        self.nodes[place] = node + (_ONES << shift)
         self.seen[:n] += 1
         self.once[:n] += fresh
         self.once[:n] -= times == 1
         self.distinct[:n] += fresh
 
 
-def _recorded(a, b, state, is_a, is_b, x) -> np.ndarray:
-    """Records of two followers after x."""
-    case = state * 3 + 2 - 2 * is_a - is_b
-    b = np.where(is_a, b, x)
-    turn = _TURN[case]
-    both = a + b
-    a = np.where(turn, b, a)
-    return a | ((both - a) << 13) | (_AFTER[case] << 26)
-
-
-def _chosen(kind: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the kinds' intervals: the four followers, then the rest."""
-    start = np.choose(kind, [np.zeros_like(ends[0]), *ends])
-    return start.astype(np.uint64), (np.choose(kind, [*ends, np.full_like(ends[0], 1 << SPLIT_BITS)]) - start).astype(np.uint64)
+def _chosen(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the intervals from the bounds at those places of the rows of ends."""
+    start = ends.take(at, mode="clip")
+    return start.view(np.uint64), (ends.take(at + ends.shape[1], mode="clip") - start).view(np.uint64)
 
 
 def _order(lengths: list[int]) -> tuple[list[int], list[int]]:
@@ -257,8 +272,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for t, n in enumerate(widths):
         x, new = numbers[t + 2, :n], fresh[t, :n]
         known, ends = model.look(n, numbers[t, :n], numbers[t + 1, :n])
-        kind = 4 - 4 * (known[0] == x) - 3 * (known[1] == x) - 2 * (known[2] == x) - (known[3] == x)
-        start, size = _chosen(kind, ends)
+        kind = 4 - ((known[:4] == x) * _CASES).sum(axis=0, dtype=np.uint8).astype(np.int64)
+        start, size = _chosen(kind * n + model.lane[:n], ends)
         rest = np.flatnonzero(kind == 4)
         before = model.path(n, x)
         some, seen, escape = new[rest], model.seen[rest], model.once[rest] + 1
@@ -277,11 +292,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 def _code_new(writer: _Writer, model: _Model, lanes: np.ndarray, ids: np.ndarray) -> None:
     group = CLASS[ids]
-    rows = model.classes[lanes]
-    start, total = rows[np.arange(len(lanes)), group], model.distinct[lanes] + CLASSES
-    ends = np.concatenate([rows, total[:, None]], axis=1)[np.arange(len(lanes)), group + 1]
-    writer.new(lanes, *(v.astype(np.uint64) for v in (start, ends - start, total, group, ids + 1 - (1 << group))))
-    model.classes[lanes] += _CLASS_STEPS > group[:, None]
+    rows, at = model.classes.take(lanes, axis=0), np.arange(len(lanes)) * (CLASSES + 1) + group
+    start, end, total = rows.take(at), rows.take(at + 1), rows[:, CLASSES]
+    writer.new(lanes, *(v.astype(np.uint64) for v in (start, end - start, total, group, ids + 1 - (1 << group))))
+    model.classes[lanes] = rows + _CLASS_ADD.take(group, axis=0)
 
 
 def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -295,11 +309,12 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         known, ends = model.look(n, numbers[t, :n], numbers[t + 1, :n])
         step = reader.range[:n] >> _SPLIT
         aim = np.minimum(reader.code[:n] // step, _SPLIT_LAST).astype(np.int64)
-        kind = (aim >= ends[0]).astype(np.int64) + (aim >= ends[1]) + (aim >= ends[2]) + (aim >= ends[3])
-        start, size = _chosen(kind, ends)
+        kind = (aim >= ends[1:5]).sum(axis=0, dtype=np.uint8).astype(np.int64)
+        at = kind * n + model.lane[:n]
+        start, size = _chosen(at, ends)
         reader.code[:n] -= step * start
         width = step * size
-        x = np.choose(kind, [*known, known[0]])
+        x = known.take(at, mode="clip")
         fresh = np.zeros(n, bool)
         rest = np.flatnonzero(kind == 4)
         if len(rest):
@@ -327,16 +342,17 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
 
 
 def _read_new(reader: _Reader, model: _Model, lanes: np.ndarray) -> np.ndarray:
-    each = np.arange(len(lanes))
-    rows, total = model.classes[lanes], model.distinct[lanes] + CLASSES
+    rows = model.classes.take(lanes, axis=0)
+    total = rows[:, CLASSES].astype(np.int64)
     inner = reader.range[lanes] // total.astype(np.uint64)
-    aim = np.minimum(reader.code[lanes] // inner, (total - 1).astype(np.uint64)).astype(np.int64)
-    group = (rows <= aim[:, None]).sum(axis=1) - 1
-    start, ends = rows[each, group], np.concatenate([rows, total[:, None]], axis=1)[each, group + 1]
+    aim = np.minimum(reader.code[lanes] // inner, (total - 1).astype(np.uint64)).astype(np.int16)
+    group = (rows <= aim[:, None]).sum(axis=1, dtype=np.uint8).astype(np.int64) - 1
+    at = np.arange(len(lanes)) * (CLASSES + 1) + group
+    start, ends = rows.take(at), rows.take(at + 1)
     width = (inner * (ends - start).astype(np.uint64)) >> group.astype(np.uint64)
     code = reader.code[lanes] - inner * start.astype(np.uint64)
     place = np.minimum(code // width, (1 << group).astype(np.uint64) - np.uint64(1))
     reader.code[lanes], reader.range[lanes] = code - width * place, width
     reader.settle(lanes)
-    model.classes[lanes] += _CLASS_STEPS > group[:, None]
+    model.classes[lanes] = rows + _CLASS_ADD.take(group, axis=0)
     return np.minimum((1 << group) - 1 + place.astype(np.int64), IDS - 1)

@@ -109,10 +109,10 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         out: list = [b""] * len(texts)
-        whole, open_, firsts = [], [], []
+        whole, split, firsts, others = [], [], set(), set()
         if len(self.memo) > self.KEPT:
             self.memo.clear()
-        get = self.memo.get
+        memo = self.memo
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -120,23 +120,18 @@ class Encoder:
                 whole.append(i)
                 continue
             pieces = text.replace(" ", self.mark + " ").split(self.mark)
-            parts = list(map(get, pieces))
-            if parts[0] is None:
-                firsts.append((i, pieces[0]))
-            if None in parts:
-                open_.append((i, pieces, parts))
-            else:
-                out[i] = b"".join(parts)
-        begun = dict(zip((p for _, p in firsts), self._encoded([p for _, p in firsts]), strict=True))
-        for i, pieces, parts in open_:
-            if parts[0] is None:
-                parts[0] = begun[pieces[0]]
-        self.memo.update((p, v) for p, v in begun.items() if len(p) <= self.LONGEST)
-        unknown = list({p for _, pieces, parts in open_ for p, known in zip(pieces, parts, strict=True) if known is None})
-        new = dict(zip(unknown, self._pieces(unknown), strict=True))
-        for i, pieces, parts in open_:
-            out[i] = b"".join(new[p] if known is None else known for p, known in zip(pieces, parts, strict=True))
-        self.memo.update((p, v) for p, v in new.items() if len(p) <= self.LONGEST)
+            split.append((i, pieces))
+            firsts.add(pieces[0])
+            others.update(pieces[1:])
+        # No first piece begins with a space and all others do, so one memory serves both.
+        firsts, others = [p for p in firsts if p not in memo], [p for p in others if p not in memo]
+        memo.update(zip(firsts, self._encoded(firsts), strict=True))
+        memo.update(zip(others, self._pieces(others), strict=True))
+        for i, pieces in split:
+            out[i] = b"".join(map(memo.__getitem__, pieces))
+        for p in (*firsts, *others):
+            if len(p) > self.LONGEST:
+                del memo[p]
         for i, v in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
             out[i] = v
         return out
