@@ -4,7 +4,8 @@ A table of segments is the file format; each row is one segment of whole documen
 alone: part, segment, start (tokens of the part before it), n_tokens, doc_ids, lengths, payload. The payload is a
 header and blocks of BLOCK_TOKENS ids: for each block its coded size and the crc32 of its ids, then the coded words.
 A damaged block is found by its checksum and touches no other block. Coding is in `context_mixing`: every block starts
-from empty statistics of order 0 to 2; all blocks of a segment are coded in step.
+from empty statistics of order 0 to 2. `pack` and `unpack` need no Spark and code all blocks of a segment in step; tables
+are written and read by the same coder's form in `jvm_coder`, block by block.
 
 A null or empty text is just the end id. Rows that share a doc_id stay in the order of their texts. Extra columns are
 not read. An empty table gives no segments.
@@ -18,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.context_mixing import BLOCK_TOKENS, IDS, decode_blocks, encode_blocks
 from textloom.llm.hashing import chunks
+from textloom.llm.jvm_coder import function
 from textloom.session import shared_dir
 
 #: Blocks of a segment, about; a segment ends with a document.
@@ -65,6 +68,10 @@ def unpack(payload: bytes) -> np.ndarray:
 _OTHER_SPACE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
 
+#: A space in the entries of a byte-level vocabulary.
+_SPACE = "\u0120"
+
+
 class Encoder:
     """Whole texts to the ids of the library's plain call. The byte-level splitter always cuts before a single space
     between two other characters, so such pieces are encoded alone and remembered, in bounded number. A text's first
@@ -81,23 +88,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.other = {}, re.compile(_OTHER_SPACE)
-        # A character whose byte no other entry holds parts pieces that are encoded in one go.
         self.mark = "\x00"
-        alone = self.tokenizer.encode(self.mark, add_special_tokens=False).tokens
-        self.mark_id = self.tokenizer.token_to_id(alone[0]) if len(alone) == 1 and sum(alone[0] in t for t in self.tokenizer.get_vocab()) == 1 else None
+        # Entries of a byte-level vocabulary that begin with a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.led[[n for token, n in vocabulary.items() if token[0] == _SPACE]] = self.tokenizer.encode(" ", add_special_tokens=False).tokens == [_SPACE]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that begin with a space before, and end with, something else than white space."""
-        if self.mark_id is None:
-            return self._encoded(pieces)
+        """Ids of pieces that begin with a space before, and end with, something else than white space: a row of them in one
+        go, parted where an entry begins with a space, since they have no other."""
         out = []
-        for first, last in chunks(pieces, 1 << 14):
-            ids = np.frombuffer(self._encoded([self.mark.join(pieces[first:last]) + self.mark])[0], "<u2")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            data, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(data[2 * at : 2 * end])
-                at = end + 1
+        for first, last in chunks(pieces, 1 << 18):
+            data = self._encoded(["".join(pieces[first:last])])[0]
+            starts = np.flatnonzero(self.led.take(np.frombuffer(data, "<u2"))).tolist()
+            if len(starts) != last - first:
+                out += self._encoded(pieces[first:last])
+                continue
+            starts.append(len(data) // 2)
+            out += [data[2 * a : 2 * b] for a, b in pairwise(starts)]
         return out
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -109,7 +117,7 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         out: list = [b""] * len(texts)
-        whole, split, firsts, others = [], [], set(), set()
+        whole, split, new = [], [], set()
         if len(self.memo) > self.KEPT:
             self.memo.clear()
         memo = self.memo
@@ -120,18 +128,20 @@ class Encoder:
                 whole.append(i)
                 continue
             pieces = text.replace(" ", self.mark + " ").split(self.mark)
-            split.append((i, pieces))
-            firsts.add(pieces[0])
-            others.update(pieces[1:])
+            # Most pieces are known, and a look among so many costs more than all else that is done with one.
+            found = list(map(memo.get, pieces))
+            unknown = [n for n, ids in enumerate(found) if ids is None]
+            missing = [pieces[n] for n in unknown]
+            new.update(missing)
+            split.append((i, found, unknown, missing))
         # No first piece begins with a space and all others do, so one memory serves both.
-        firsts, others = [p for p in firsts if p not in memo], [p for p in others if p not in memo]
-        memo.update(zip(firsts, self._encoded(firsts), strict=True))
-        memo.update(zip(others, self._pieces(others), strict=True))
-        for i, pieces in split:
-            out[i] = b"".join(map(memo.__getitem__, pieces))
-        for p in (*firsts, *others):
-            if len(p) > self.LONGEST:
-                del memo[p]
+        firsts, others = [p for p in new if p[:1] != " "], [p for p in new if p[:1] == " "]
+        made = dict(zip(firsts, self._encoded(firsts), strict=True)) | dict(zip(others, self._pieces(others), strict=True))
+        for i, found, unknown, missing in split:
+            for n, p in zip(unknown, missing, strict=True):
+                found[n] = made[p]
+            out[i] = b"".join(found)
+        memo.update((p, ids) for p, ids in made.items() if len(p) <= self.LONGEST)
         for i, v in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
             out[i] = v
         return out
@@ -157,7 +167,7 @@ def segments(docs: DataFrame, tokenizer: str, order: list[str] | None = None) ->
 
         def out():
             nonlocal held, keys, lengths, n, number, start
-            columns = [[part], [number], [start], [n], [keys], [lengths], [pack(np.frombuffer(b"".join(held), "<u2").astype(np.int64))]]
+            columns = [[part], [number], [start], [n], [keys], [lengths], [b"".join(held)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SEGMENTS.split(", ")])
             held, keys, lengths, number, start, n = [], [], [], number + 1, start + n, 0
@@ -176,7 +186,8 @@ def segments(docs: DataFrame, tokenizer: str, order: list[str] | None = None) ->
         if keys:
             yield out()
 
-    return rows.select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    made = rows.select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    return made.withColumn("payload", function(docs.sparkSession, "Pack", "payload"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, order: list[str] | None = None) -> None:
@@ -194,18 +205,10 @@ def _with_base(stored: DataFrame) -> DataFrame:
 
 def index(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from its decoded ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["payload"]).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                starts = ends - row["lengths"]
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"] + row["base"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return _with_base(stored).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = function(stored.sparkSession, "Documents", F.struct("payload", "lengths"))
+    rows = _with_base(stored).select((F.col("start") + F.col("base")).alias("before"), "doc_ids", "lengths", found.alias("found"))
+    rows = rows.select("before", F.inline(F.arrays_zip("doc_ids", "lengths", "found")))
+    return rows.select(F.col("doc_ids").alias("doc_id"), (F.col("before") + F.col("found.start")).alias("start"), F.col("lengths").alias("n_tokens"), "found.ids_crc32")
 
 
 def read_ids(stored: DataFrame) -> DataFrame:
@@ -215,10 +218,11 @@ def read_ids(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 offsets = np.concatenate([[0], np.cumsum(row["lengths"])])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(unpack(row["payload"]), pa.int64()))
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(row["payload"], "<u2"), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), ids], ["doc_id", "ids"])
 
-    return stored.mapInArrow(run, "doc_id long, ids array<long>")
+    decoded = stored.withColumn("payload", function(stored.sparkSession, "Unpack", "payload"))
+    return decoded.mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def written_index(docs: DataFrame, tokenizer: str, order: list[str] | None = None) -> DataFrame:
