@@ -119,3 +119,17 @@ def test_gaps_of_a_term_over_many_partitions(spark):
     gaps = I.encode_gaps(posts)
     assert sorted(map(tuple, gaps.collect())) == sorted((t, d, 5 if d == 5 else 7) for t, d in map(tuple, posts.collect()))
     assert sorted(map(tuple, I.decode_gaps(gaps).collect())) == sorted(map(tuple, posts.collect()))
+
+
+def test_truncating_looks_at_its_token_once(spark):
+    """The rule of a character at a time took 254 looks at the whole expression that gives the token."""
+    from pyspark.sql import functions as F
+
+    from textloom import registry
+    from textloom.functions import text as X
+
+    plan = registry.QUERIES["token_truncate_255"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") == 1
+    words = ["a" * 254, "a" * 255, "ы" * 127, "ы" * 128, "a" + "ы" * 127, "€" * 90, "a€" * 90, "aa" + "€" * 90, "😀" * 70, "aaa" + "😀" * 70]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.truncate(F.col("w"))).collect()
+    assert [b for _, b in rows] == [X.truncate_word(w) for w in words]

@@ -18,13 +18,9 @@ def raw_tokens(text: Column) -> Column:
 def truncate(token: Column) -> Column:
     """A character is kept only while the bytes before it number fewer than the limit."""
     limit = R.MAX_TOKEN_BYTES
-    cut = F.array_max(
-        F.filter(
-            F.sequence(F.lit(1), F.least(F.char_length(token), F.lit(limit))),
-            lambda n: F.octet_length(F.substring(token, F.lit(1), n - 1)) < limit,
-        )
-    )
-    return F.when(F.octet_length(token) <= limit, token).otherwise(F.substring(token, F.lit(1), cut))
+    # The bytes before the limit hold the first byte of every character that is kept; a cut last one counts as whole.
+    begun = F.char_length(F.substring(F.encode(token, "UTF-8"), F.lit(1), F.lit(limit)).cast("string"))
+    return F.when(F.octet_length(token) <= limit, token).otherwise(F.substring(token, F.lit(1), begun))
 
 
 def is_ascii(token: Column) -> Column:
