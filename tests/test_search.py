@@ -133,3 +133,28 @@ def test_truncating_looks_at_its_token_once(spark):
     words = ["a" * 254, "a" * 255, "ы" * 127, "ы" * 128, "a" + "ы" * 127, "€" * 90, "a€" * 90, "aa" + "€" * 90, "😀" * 70, "aaa" + "😀" * 70]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.truncate(F.col("w"))).collect()
     assert [b for _, b in rows] == [X.truncate_word(w) for w in words]
+
+
+def test_terms_of_a_text_agree_with_the_twin(spark):
+    """tokens() and doc_terms() run Terms.java, not a chain of expressions for each token."""
+    from itertools import product
+
+    from textloom.functions import rules as R
+    from textloom.functions import text as X
+    from textloom.operators import tokens as T
+
+    ends = sorted({x for group in (R.GERUND, R.ADJECTIVE, R.PARTICIPLE, R.VERB, R.NOUN, R.SUPERLATIVE) for x in group.split("|")}) + ["нн", "ь", ""]
+    words = [s + a + b for s, a, b in product(["", "б", "ба", "бя", "абя", "бе", "бел", "бау", "ыя", "бяа", "x", "БЯ", "Єщ"], ends, ends)]
+    odd = ["a" * 300, "ы" * 200, "a" + "ы" * 200, "a" * 253 + "ыb", "12", "1a", "-", "--", "-a", "a-", "a-b", "Ѐ", "ѿ", "Ҁ", "é", "İK", "😀x", "ЀЂ", "A" * 250 + "ЫЫЫ", "x\n\ty", ""]
+    texts = [*(" ".join(words[i : i + 500]) for i in range(0, len(words), 500)), *odd, " ".join(odd), None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (1, 2):
+        want = {i: X.analyze(t or "", least) for i, t in enumerate(texts)}
+        got = {i: [] for i in want}
+        for r in T.tokens(frame, min_chars=least).orderBy("doc_id", "pos").collect():
+            got[r.doc_id].append(r.term)
+        assert got == want
+        assert sorted(map(tuple, T.doc_terms(frame, min_chars=least).collect())) == sorted((i, t) for i, ts in want.items() for t in set(ts))
+    assert [r.term for r in T.tokens(frame.where(f"doc_id = {texts.index('ы' * 200)}"), stemmed=False).collect()] == ["ы" * 127]
+    plan = T.tokens(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "textloom_terms" in plan

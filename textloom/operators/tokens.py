@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.terms import terms
 from textloom.operators.ordering import number_rows
 from textloom.session import durable
 
 
-def _terms(raw: DataFrame, min_chars: int, stemmed: bool = True) -> DataFrame:
+def _terms(raw: DataFrame, min_chars: int) -> DataFrame:
     """Raw tokens in column `term` to terms; rows whose term is not valid go."""
     rest = [c for c in raw.columns if c != "term"]
     low = raw.select(*rest, X.lowercase(X.truncate(F.col("term"))).alias("term"))
-    terms = X.stemmed(low, "term") if stemmed else low
-    return terms.where(X.is_valid(F.col("term"), min_chars))
+    return X.stemmed(low, "term").where(X.is_valid(F.col("term"), min_chars))
 
 
 def tokens(frame: DataFrame, key: str = "doc_id", text: str | Column = "text", min_chars: int = 1, stemmed: bool = True) -> DataFrame:
@@ -24,14 +24,14 @@ def tokens(frame: DataFrame, key: str = "doc_id", text: str | Column = "text", m
     Validity is decided after stemming, so `pos` has gaps where tokens were rejected. Null texts give no rows.
     """
     column = F.col(text) if isinstance(text, str) else text
-    raw = frame.select(F.col(key), F.posexplode(X.raw_tokens(column)).alias("pos", "term"))
-    return _terms(raw.select(key, F.col("pos").cast("bigint").alias("pos"), "term"), min_chars, stemmed)
+    found = frame.select(F.col(key), F.posexplode(terms(frame.sparkSession, column, min_chars, stemmed)).alias("pos", "term"))
+    return found.where("term is not null").select(key, F.col("pos").cast("bigint").alias("pos"), "term")
 
 
 def doc_terms(frame: DataFrame, key: str = "doc_id", text: str | Column = "text", min_chars: int = 1) -> DataFrame:
-    """(key, term) with each raw token of a document once: what postings are made of. Terms may repeat."""
+    """(key, term) with each term of a row once: what postings are made of. Rows that share a key may repeat terms."""
     column = F.col(text) if isinstance(text, str) else text
-    return _terms(frame.select(F.col(key), F.explode(F.array_distinct(X.raw_tokens(column))).alias("term")), min_chars)
+    return frame.select(F.col(key), F.explode(terms(frame.sparkSession, column, min_chars, distinct=True)).alias("term"))
 
 
 def term_counts(frame: DataFrame, text: str | Column = "text", min_chars: int = 1) -> DataFrame:
