@@ -135,3 +135,15 @@ def test_intermediate_tables_can_be_cleared(spark):
     table = written(spark.range(3), "some")
     path = table.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and clear(spark) >= 1 and not os.path.exists(path) and clear(spark) == 0
+
+
+def test_made_pages_take_words_wherever_they_are(spark, tmp_path):
+    """The whole text was split into words, twice; the selectors' ocr block was looked for twice."""
+    from textloom import registry
+
+    texts = [" 1a b\nc-d é e  ff", "a b c d e", "", None, "7" * 5000 + "q w e" + "\n" * 5000 + "r t yé zz", "a,b,c,d,e,f"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["real_selectors"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("a b", "\nd e", "", None), 4: ("No Title", "No Body", "y q", "y q"), 5: ("No Title", "No Body", "", "b")}
+    plan = registry.QUERIES["real_selectors"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(text#") == 1 and plan.count("found(") == 3

@@ -103,13 +103,13 @@ def ocr_nodes(html: Column) -> Column:
     return attribute_nodes(html, "class", "ocr", "div")
 
 
-def ocr_or_article(html: Column) -> Column:
+def ocr_or_article(html: Column, nodes: Column | None = None) -> Column:
     """Text of the `ocr` block, else of `<article>`; null (skip the page) without either."""
-    return F.coalesce(F.array_join(ocr_nodes(html), " "), F.array_join(element_nodes(html, "article"), " "))
+    return F.coalesce(F.array_join(ocr_nodes(html) if nodes is None else nodes, " "), F.array_join(element_nodes(html, "article"), " "))
 
 
-def ocr_only(html: Column) -> Column:
-    return F.coalesce(F.array_join(ocr_nodes(html), " "), F.lit(""))
+def ocr_only(html: Column, nodes: Column | None = None) -> Column:
+    return F.coalesce(F.array_join(ocr_nodes(html) if nodes is None else nodes, " "), F.lit(""))
 
 
 def clean_document(head: Column, body: Column) -> Column:
