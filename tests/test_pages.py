@@ -137,6 +137,21 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert os.path.exists(path) and clear(spark) >= 1 and not os.path.exists(path) and clear(spark) == 0
 
 
+def test_a_batch_is_written_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """One task a bucket grew with the input."""
+    from textloom.operators.index import Index
+    from textloom.streaming import incremental
+
+    monkeypatch.setattr(incremental, "ROWS_A_TASK", 50)
+    docs = spark.createDataFrame([(i, f"common word{i}") for i in range(100)] + [(0, "other common")], "doc_id long, text string")
+    incremental.add_documents(docs.where("text <> 'other common'"), str(tmp_path / "i"), buckets=1)
+    incremental.add_documents(docs, str(tmp_path / "i"))  # adds nothing
+    assert len(list((tmp_path / "i/postings/batch=0").glob("bucket=0/*.parquet"))) == 5
+    index = Index.load(spark, str(tmp_path / "i"))
+    assert sorted((r.term, r.doc_id) for r in index.postings.collect()) == sorted((t, i) for i in range(100) for t in ("common", f"word{i}"))
+    assert {r.term: r.doc_freq for r in index.dictionary.collect()} == {"common": 100} | {f"word{i}": 1 for i in range(100)}
+
+
 def test_made_pages_take_words_wherever_they_are(spark, tmp_path):
     """The whole text was split into words, twice; the selectors' ocr block was looked for twice."""
     from textloom import registry

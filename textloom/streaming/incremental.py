@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.index import BUCKETS, Index, bucket_of, dictionary, forward, postings
+from textloom.operators.index import BUCKETS, Index, bucket_of, dictionary, forward
 from textloom.operators.tokens import doc_terms
 from textloom.session import durable
 
+#: Postings that one task sorts and writes.
+ROWS_A_TASK = 1_000_000
+
 
 def _stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
     try:
@@ -38,8 +41,10 @@ def add_documents(docs: DataFrame, path: str, batch: int | None = None, min_char
     others = known.where(known["batch"] != number).select("doc_id")
     columns = [c for c in ("doc_id", "text", "url", "title") if c in docs.columns]
     fresh = durable(docs.select(*columns).dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti"))
-    posts = durable(postings(doc_terms(fresh, min_chars=min_chars)))
-    sorted_ = posts.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    posts = durable(doc_terms(fresh, min_chars=min_chars).select("term", "doc_id"))  # distinct, as documents and their terms are
+    tasks = 1 + posts.count() // ROWS_A_TASK  # tasks of a bounded size, however few buckets there are
+    ranged = posts.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartitionByRange(tasks, "bucket", "term", "doc_id")
+    sorted_ = ranged.sortWithinPartitions("bucket", "term", "doc_id")
     sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
     dictionary(posts).write.mode("overwrite").parquet(f"{path}/dictionary/batch={number}")
     have = [F.col(c) if c in columns else F.lit("") for c in ("url", "title")]
